@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules, warc
+from . import chat, line_dedup, mixing, quality_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_chat_format": chat.op10_chat_format,
     }
 
 
