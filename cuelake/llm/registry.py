@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, mixing, quality_rules, warc
+from . import chat, decontam, line_dedup, mixing, quality_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
+        "op5_decontaminate": decontam.op5_decontaminate,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_quality_rules": quality_rules.op8_quality_rules,
