@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, line_dedup, mixing, quality_rules, simhash_dedup, warc
+from . import chat, decontam, line_dedup, mixing, quality_rules, simhash_dedup, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op6_line_dedup": line_dedup.op6_line_dedup,
