@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, line_dedup, mixing, quality_rules, simhash_dedup, suffix_dedup, warc
+from . import chat, decontam, line_dedup, mixing, quality_rules, simhash_dedup, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_chat_format": chat.op10_chat_format,
     }
 
