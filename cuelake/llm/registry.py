@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, line_dedup, mixing, quality_rules, simhash_dedup, suffix_dedup, toxicity, warc
+from . import chat, decontam, html_extract, line_dedup, mixing, quality_rules, simhash_dedup, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1_warc,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
+        "op4_html_extract": html_extract.op4_html_extract,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
