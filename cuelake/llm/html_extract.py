@@ -38,10 +38,9 @@ def features(blocks: Sequence[Block], title: str) -> np.ndarray:
         n = b.text.count(" ") + 1
         share = b.links / len(b.text)
         plain = not b.bits & (_CLUTTER | _GOOD)
-        at = k / max(1, len(blocks) - 1)
         x[k, n_bits + n_tags :] = (
             1, n < 4, 4 <= n < 10, 10 <= n < 25, n >= 25, share == 0, 0 < share < 0.3, 0.3 <= share < 0.8, share >= 0.8, b.text[-1] in ".!?…:;\"”»)",
-            "©" in b.text or "copyright" in b.text.lower(), bool(title) and (b.text.startswith(title) or title.startswith(b.text)), at < 0.1, at > 0.9, n < 10 and share > 0.5,
+            "©" in b.text or "copyright" in b.text.lower(), bool(title) and (b.text.startswith(title) or title.startswith(b.text)), k < 3, k >= len(blocks) - 3, n < 10 and share > 0.5,
             n >= 25 and share < 0.3, plain, plain and n >= 10 and share < 0.3, bool(b.bits & _CLUTTER), "·" in b.text,
         )
     return x
@@ -68,7 +67,7 @@ class Field:
         return np.array(y[::-1], np.int8)
 
 
-def train(pages: Sequence[tuple[np.ndarray, np.ndarray]], rounds: int = 250, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+def train(pages: Sequence[tuple[np.ndarray, np.ndarray]], rounds: int = 160, rate: float = 0.1, ridge: float = 1e-3) -> Field:
     """Maximum likelihood with a ridge, by Adam over all pages at once; forward-backward gives the marginals."""
     n, longest, width = len(pages), max(len(y) for _, y in pages), pages[0][0].shape[1]
     x, y, on = np.zeros((n, longest, width), np.float32), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)

@@ -29,8 +29,8 @@ class _Page:
             return " | ".join(self.word() for _ in range(self.r.randint(3, 60)))
         if odd < 0.08:
             return " ".join(f"{self.word()}{self.r.choice('#*$%&!')}" for _ in range(self.r.randint(3, 60))).replace("&", "&amp;")
-        if odd < 0.12:
-            return self.words(1, 30)
+        if odd < 0.16:
+            return self.words(1, self.r.choice((2, 4, 30)))
         text = " ".join(self.sentence() for _ in range(self.r.choice((1, 1, 2, 3, 5, 9))))
         if self.r.random() < 0.25:
             text += f' <a href="/{self.word()}">{self.words(1, 3)}</a> {self.sentence()}'
@@ -113,9 +113,9 @@ class _Page:
         r = self.r
         title = self.words(3, 10)
         head = f"<h1>{_MARK}{title}</h1>"
-        if r.random() < 0.15:
-            head = f"<header>{head}</header>"
-        parts = [self.body_part() for _ in range(r.choice((1, 2, 4, 6, 10, 16)))]
+        if r.random() < 0.3:
+            head = f"<header>{head}{self.clutter('share') * r.randint(0, 1)}</header>"
+        parts = [self.body_part() for _ in range(r.choice((1, 2, 4, 6, 10, 16, 40)))]
         inside = ("ad", "share", "side", "notice", "form", "related", "comments")
         for kind in r.sample(inside, r.choice((0, 0, 0, 1, 1, 2))):
             at = len(parts) if kind in ("comments", "related", "share") else r.randint(0, len(parts))
@@ -132,12 +132,12 @@ class _Page:
             main = f"<main>{main}</main>" if r.random() < 0.5 else f'<div id="{r.choice(("page", "wrapper", "container", "content"))}">{main}</div>'
         before = [self.clutter(k) for k in r.sample(("nav", "header", "ad", "notice", "form", "side", "nav"), r.randint(0, 4))]
         after = [self.clutter(k) for k in r.sample(("comments", "side", "related", "ad", "form", "notice", "share"), r.randint(0, 4))]
-        if r.random() < 0.9:
+        if r.random() < 0.8:
             after.append(self.clutter("footer"))
         return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>" + "".join(before) + main + "".join(after) + "</body></html>"
 
 
-def labelled_pages(n: int = 700, seed: int = 11) -> list[tuple[list[Block], str, list[int]]]:
+def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], str, list[int]]]:
     """n pages as blocks, title and labels (1 text, 0 clutter)."""
     out = []
     for k in range(n):
