@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space at the ends of a text or line, as str.strip takes it off.
-_EDGE = r"[\s\x1C-\x1F\x85\xA0  -     　]+"
+_EDGE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def strip(text: Column) -> Column:

@@ -44,8 +44,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column, ou
 def with_next(df: DataFrame, keys: list[str], order: list[str], block: Column, column: str, out: str) -> DataFrame:
     """The column's value in the next row by order, per key; null in the last."""
     df, w = _blocks(df, keys, order, block)
-    df = df.withColumn("_next", F.lead(column).over(w)).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    df = df.withColumn("_ahead", F.lead(column).over(w)).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
     firsts = df.groupBy(*keys, "_block").agg(F.min_by(column, F.struct(*order)).alias("_first"))
     after = Window.partitionBy(*keys).orderBy("_block")
     firsts = firsts.select(*keys, "_block", F.lead("_first").over(after).alias("_then"))
-    return _joined(df, firsts, keys).withColumn(out, F.when(F.col("_last"), F.col("_then")).otherwise(F.col("_next"))).drop("_next", "_last", "_then", "_block")
+    return _joined(df, firsts, keys).withColumn(out, F.when(F.col("_last"), F.col("_then")).otherwise(F.col("_ahead"))).drop("_ahead", "_last", "_then", "_block")

@@ -5,11 +5,491 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import languages, text, timecode
+from ..operators import audio, cues, grid, match, refine, timeline
+from ..sources import documents, srt
+from . import views
+from .views import CALLS, CUES, MEDIA, MERGED, STATE, table, timecode_sql
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- cues -------------------------------------------------------------------------------------------------------
+
+
+@_register(f"with {CUES} select track, cue_id, start_ms, end_ms, text from cues")
+def cue_view(spark, d):
+    return views.cues(spark, d).drop("user_id")
+
+
+@_register(f"with recursive {MERGED} select track, start_ms, end_ms, text, cue_id, n_merged from merged")
+def merge_short(spark, d):
+    return cues.merge_short(views.cues(spark, d))
+
+
+@_register(f"with {CUES} select track, cue_id, row_number() over (partition by track order by start_ms, cue_id) as number from cues")
+def number_cues(spark, d):
+    return cues.number_cues(views.cues(spark, d)).select("track", "cue_id", "number")
+
+
+def _listed(spark, d):
+    """Cues in list order of cue_id rather than time, some without text, some before zero."""
+    c = views.cues(spark, d)
+    return c.select("track", F.col("cue_id").alias("ord"), (F.col("start_ms") - 2000).alias("start_ms"), (F.col("end_ms") - 2000).alias("end_ms"), F.expr("case when cue_id % 97 <> 0 then text end").alias("text"))
+
+
+@_register(f"""
+with {CUES},
+listed as (select track, cue_id, start_ms - 2000 as start_ms, end_ms - 2000 as end_ms, case when cue_id % 97 <> 0 then text end as text from cues),
+placed as (select *, row_number() over w - 1 as position, lead(start_ms) over w as next_ms from listed window w as (partition by track order by cue_id))
+select track, position, 'missing_text' as issue from placed where text is null
+union all select track, position, 'negative_start' from placed where start_ms < 0
+union all select track, position, 'negative_end' from placed where end_ms < 0
+union all select track, position, 'end_not_after_start' from placed where end_ms <= start_ms
+union all select track, position, 'overlap' from placed where next_ms < end_ms
+""")
+def timing_issues(spark, d):
+    return cues.timing_issues(_listed(spark, d), per_block=1000)
+
+
+@_register("""
+with d as (select source as track, doc_id as ord, len(string_split(coalesce(text, ''), chr(10))) = 2 as two, row_number() over (partition by source order by doc_id) as r from documents)
+select track, count(*) as n, count(*) filter (two) as n_two_lines, count(*) filter (two) >= 0.8 * count(*) as is_bilingual from d where r <= 5 group by track
+""")
+def bilingual_share(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("track"), F.col("doc_id").alias("ord"), "text")
+    return cues.bilingual_share(docs)
+
+
+# --- timecodes and text -----------------------------------------------------------------------------------------
+
+
+@_register(f"with {CUES} select cue_id, {timecode_sql('start_ms')} as start_code, {timecode_sql('end_ms - 5000')} as end_code from cues")
+def timecode_format(spark, d):
+    return views.cues(spark, d).select("cue_id", timecode.format_timecode(F.col("start_ms")).alias("start_code"), timecode.format_timecode(F.col("end_ms") - 5000).alias("end_code"))
+
+
+@_register("""
+with k as (select event_id, case event_id % 4 when 0 then user_id % 100 || ':05:07,' || event_id % 1000 || ' tail' when 1 then '01:02:03.500' when 2 then user_id % 9 || 'h:2x:03,5' else '01:02' end as code from events)
+select event_id, case event_id % 4 when 0 then (cast(split_part(code, ':', 1) as bigint) * 3600 + 307) * 1000 + event_id % 1000 end as strict_ms,
+  case event_id % 4 when 0 then (cast(split_part(code, ':', 1) as bigint) * 3600 + 307) * 1000 + event_id % 1000 when 2 then cast(left(code, 1) as bigint) * 3600000 + 123005 end as lenient_ms
+from k
+""")
+def timecode_parse(spark, d):
+    code = F.expr("case event_id % 4 when 0 then user_id % 100 || ':05:07,' || event_id % 1000 || ' tail' when 1 then '01:02:03.500' when 2 then user_id % 9 || 'h:2x:03,5' else '01:02' end")
+    e = table(spark, d, "events").select("event_id", code.alias("code"))
+    return e.select("event_id", timecode.parse_timecode(F.col("code")).alias("strict_ms"), timecode.parse_timecode(F.col("code"), "lenient").alias("lenient_ms"))
+
+
+@_register("""
+with recursive lines as (
+  select doc_id, pos, regexp_replace(trim(line), ' +', ' ', 'g') as line
+  from (select doc_id, unnest(string_split(trim(text, concat(' ', chr(9), chr(10), chr(13))), chr(10))) as line, generate_subscripts(string_split(trim(text, concat(' ', chr(9), chr(10), chr(13))), chr(10)), 1) as pos from documents)),
+words as (select doc_id, pos, string_split(line, ' ') as w from lines where length(line) > 80),
+fill as (
+  select doc_id, pos, w, 1 as i, w[1] as now, 1 as row_no from words
+  union all
+  select doc_id, pos, w, i + 1, case when length(now) + 1 + length(w[i + 1]) <= 80 then now || ' ' || w[i + 1] else w[i + 1] end,
+    case when length(now) + 1 + length(w[i + 1]) <= 80 then row_no else row_no + 1 end
+  from fill where i < len(w)),
+rows_ as (
+  select doc_id, pos, row_no, arg_max(now, i) as line from fill group by doc_id, pos, row_no
+  union all select doc_id, pos, 1, line from lines where length(line) <= 80)
+select doc_id, md5(string_agg(line, chr(10) order by pos, row_no)) as wrapped_md5, count(*) as n_lines from rows_ group by doc_id
+""")
+def wrap_text(spark, d):
+    w = table(spark, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("w"))
+    return w.select("doc_id", F.md5("w").alias("wrapped_md5"), F.size(F.split("w", "\n", -1)).cast("bigint").alias("n_lines"))
+
+
+@_register("""
+with l as (select doc_id, string_split(trim(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(13))), chr(10)) as l from documents)
+select doc_id, trim(l[1]) as target, trim(coalesce(l[2], l[1])) as source from l
+""")
+def bilingual_extract(spark, d):
+    p = text.bilingual_pair(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", p["target"].alias("target"), p["source"].alias("source"))
+
+
+@_register("""
+with l as (select doc_id, text, string_split(text, chr(10)) as l from documents)
+select doc_id, case when len(l) = 2 then l[1] else text end as first, case when len(l) = 2 then l[2] else '' end as second from l
+""")
+def bilingual_exact(spark, d):
+    p = text.exact_pair(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", p["first"].alias("first"), p["second"].alias("second"))
+
+
+def _turns(spark, d):
+    c = table(spark, d, "conversations").where("conv_id is not null")
+    q = c.where("role = 'user'").select("conv_id", "turn", F.expr("case when turn % 3 = 2 then '' else text end").alias("source"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    return q.join(a, ["conv_id", "turn"], "full")
+
+
+_TURNS = """
+q as (select conv_id, turn, case when turn % 3 = 2 then '' else text end as source from conversations where role = 'user'),
+a as (select conv_id, turn - 1 as turn, text as target from conversations where role = 'assistant'),
+t as (select coalesce(q.conv_id, a.conv_id) as conv_id, coalesce(q.turn, a.turn) as turn, nullif(source, '') as s, nullif(target, '') as t from q full join a on q.conv_id = a.conv_id and q.turn = a.turn)
+"""
+
+
+@_register(f"""
+with {_TURNS}
+select conv_id, turn, case when t is not null and s is not null then t || chr(10) || s when t is not null then t || chr(10) || '{text.NO_SOURCE}' else '{text.NO_TARGET}' || chr(10) || s end as text
+from t where t is not null or s is not null
+""")
+def bilingual_compose(spark, d):
+    out = _turns(spark, d).select("conv_id", "turn", text.compose(F.col("target"), F.col("source")).alias("text"))
+    return out.where("text is not null")
+
+
+@_register(f"with {_TURNS} select conv_id, turn, t as text from t where t is not null")
+def mono_compose(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", text.compose(F.col("target"), F.col("source"), bilingual=False).alias("text")).where("text is not null")
+
+
+# --- names and options --------------------------------------------------------------------------------------------
+
+_NAME = "'clip' || page_id || case page_id % 5 when 0 then '.eng-cmn.srt' when 1 then '.JPN-xyz.srt' when 2 then '.fr-de.srt' when 3 then '.spa-rus.refined.srt' else '.srt' end"
+
+
+@_register(f"""
+with f as (select page_id, {_NAME} as name from pages),
+p as (select *, lower(regexp_extract(name, '\\.([a-zA-Z]{{3}})-([a-zA-Z]{{3}})(?:\\.refined)?\\.srt$', 1)) as a, lower(regexp_extract(name, '\\.([a-zA-Z]{{3}})-([a-zA-Z]{{3}})(?:\\.refined)?\\.srt$', 2)) as b,
+  regexp_extract(left(name, length(name) - 4), '\\.([a-z]{{2,3}})-([a-z]{{2,3}})(?:\\.refined)?$', 1) as sa from f)
+select page_id, nullif(a, '') as first, nullif(b, '') as second, nullif(sa, '') as stem_source,
+  case nullif(a, '') when 'eng' then 'English' when 'spa' then 'Spanish' when 'jpn' then 'Japanese' else upper(nullif(a, '')) end as first_name
+from p
+""")
+def lang_from_name(spark, d):
+    name = F.expr(_NAME)
+    p = table(spark, d, "pages").select("page_id", languages.languages_of_file(name).alias("l"), languages.languages_of_stem(F.regexp_replace(name, r"\.srt$", "")).alias("s"))
+    rows = p.select("page_id", F.col("l.first").alias("first"), F.col("l.second").alias("second"), F.col("s.source").alias("stem_source"))
+    return languages.with_language_name(rows, "first", "first_name")
+
+
+_OPTION = "case event_id % 5 when 0 then 'eng:cmn' when 1 then ' fra : deu ' when 2 then 'eng' when 3 then 'a:b:c' else ':x' end"
+
+
+@_register("select event_id, case event_id % 5 when 0 then 'eng' when 1 then 'fra' end as source, case event_id % 5 when 0 then 'cmn' when 1 then 'deu' end as target from events")
+def language_pair(spark, d):
+    p = languages.language_pair(F.expr(_OPTION))
+    return table(spark, d, "events").select("event_id", p["source"].alias("source"), p["target"].alias("target"))
+
+
+@_register("select page_id, 'clip' || page_id || '.eng-cmn.srt' as bilingual, 'clip' || page_id || '.cmn.srt' as mono, 'clip' || page_id || '.cmn.wav' as dub, 'clip' || page_id || '.cmn.cloned.wav' as clone, 'clip' || page_id || '.eng-cmn.refined.srt' as refined from pages")
+def output_names(spark, d):
+    stem = F.concat(F.lit("clip"), F.col("page_id").cast("string"))
+    a, b = F.lit("eng"), F.lit("cmn")
+    both = languages.output_name(stem, a, b, bilingual=True)
+    return table(spark, d, "pages").select("page_id", both.alias("bilingual"), languages.output_name(stem, a, b).alias("mono"), languages.output_name(stem, a, b, "dub").alias("dub"), languages.output_name(stem, a, b, "clone").alias("clone"), languages.refined_name(both).alias("refined"))
+
+
+@_register("select event_id, cast(coalesce(json_extract_string(props, '$.k'), '-1') as bigint) as k, coalesce(json_extract_string(props, '$.missing'), 'none') as missing from events")
+def json_prop(spark, d):
+    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("-1")).cast("bigint").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"))
+
+
+# --- SRT ------------------------------------------------------------------------------------------------------------
+
+
+@_register(f"""
+with recursive {MERGED},
+n as (select *, row_number() over (partition by track order by start_ms, cue_id) as number from merged)
+select track, number, number || chr(10) || {timecode_sql('start_ms')} || ' --> ' || {timecode_sql('end_ms')} || chr(10) || text || chr(10) as entry from n where length(text) <= 80
+""")
+def srt_entries(spark, d):
+    """Entries whose text needs no wrapping; wrap_text checks the rest."""
+    return srt.srt_entries(views.cues(spark, d)).where(F.length(F.split("entry", "\n", 4)[2]) == F.length("entry") - F.length(F.substring_index("entry", "\n", 2)) - 2)
+
+
+def _files(spark, d):
+    """One file per user: its cues."""
+    return views.cues(spark, d).withColumn("track", F.col("user_id").cast("string")).drop("user_id")
+
+
+@_register(f"""
+with {CUES},
+n as (select *, row_number() over (partition by user_id order by start_ms, cue_id) as number from cues),
+e as (select user_id, number, number || chr(10) || {timecode_sql('start_ms')} || ' --> ' || {timecode_sql('end_ms')} || chr(10) || text || chr(10) as entry from n)
+select cast(user_id as varchar) as track, string_agg(entry, chr(10) order by number) as content from e group by user_id
+""")
+def srt_render(spark, d):
+    return srt.render_srt(_files(spark, d), merge=False)
+
+
+@_register(f"with {CUES} select cast(user_id as varchar) as track, row_number() over (partition by user_id order by start_ms, cue_id) as cue_index, start_ms, end_ms, text from cues")
+def srt_parse_roundtrip(spark, d):
+    return srt.parse_srt(srt.render_srt(_files(spark, d), merge=False)).select("track", "cue_index", "start_ms", "end_ms", "text")
+
+
+_MESSY = "'1' || n || '0:00:01,000 --> 0:00:02,500' || n || 'one' || n || n || '2x' || n || 'at 0:00:03,5 --> 0:00:04,000 X1:0' || n || 'two' || n || 'zwei' || n || '  ' || n || 'bad' || n || n || 'y' || n || '0:0:1,0 --> 0:0:2,0' || n || 'z'"
+
+
+@_register("""
+select cast(page_id as varchar) as track, i as cue_index, s as start_ms, e as end_ms, t as text
+from pages, (values (1, 1000, 2500, 'one'), (2, 3005, 4000, 'two' || chr(10) || 'zwei')) v(i, s, e, t)
+""")
+def srt_parse_lenient(spark, d):
+    n = F.expr("case page_id % 3 when 0 then '\\n' when 1 then '\\r\\n' else '\\r' end").alias("n")
+    files = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("track"), n).select("track", F.expr(_MESSY).alias("content"))
+    return srt.parse_srt(files, "lenient").select("track", "cue_index", "start_ms", "end_ms", "text")
+
+
+@_register("select cast(page_id as varchar) as track, 1 as cue_index, 1000 as start_ms, 2500 as end_ms, 'one' as text from pages where page_id % 3 = 0")
+def srt_parse_strict(spark, d):
+    n = F.expr("case page_id % 3 when 0 then '\\n' when 1 then '\\r\\n' else '\\r' end").alias("n")
+    files = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("track"), n).select("track", F.expr(_MESSY).alias("content"))
+    return srt.parse_srt(files).select("track", "cue_index", "start_ms", "end_ms", "text").where("track % 3 = 0")
+
+
+@_register("""
+with c as (select doc_id, '<div class="card"><h3>' || replace(replace(source, '&', '&amp;'), '<', '&lt;') || '</h3><audio controls src="' || 'f' || doc_id || '.wav"></audio></div>' as card, lang from documents where doc_id % 3 <> 0)
+select lang as page, md5(string_agg(card, chr(10) order by doc_id)) as cards_md5, count(*) as n from c group by lang
+""")
+def html_index(spark, d):
+    docs = table(spark, d, "documents").select(F.col("lang").alias("page"), F.col("doc_id").alias("position"), F.col("source").alias("label"), F.format_string("f%d.wav", "doc_id").alias("file"))
+    listing = docs.where("position % 3 <> 0").select("file")
+    pages = documents.html_index(docs, listing)
+    body = F.regexp_extract("html", r"(?s) files</p>\n(.*)\n</body>", 1)
+    return pages.select("page", F.md5(body).alias("cards_md5"), F.size(F.split(body, "\n")).cast("bigint").alias("n"))
+
+
+# --- matching -------------------------------------------------------------------------------------------------------
+
+
+def _sides(spark, d):
+    c = views.cues(spark, d)
+    frags = c.where("track = 'view'").select(F.col("cue_id").alias("frag_id"), "start_ms", "end_ms")
+    return c.where("track = 'click'"), frags
+
+
+_MATCH = f"""
+{CUES},
+best as (
+  select c.cue_id, f.cue_id as frag_id, f.start_ms as frag_start_ms, f.end_ms as frag_end_ms, abs(c.start_ms - f.start_ms) + abs(c.end_ms - f.end_ms) as diff_ms
+  from cues c join cues f on f.track = 'view' and f.start_ms between c.start_ms - 500 and c.start_ms + 500
+  where c.track = 'click'
+  qualify row_number() over (partition by c.cue_id order by abs(c.start_ms - f.start_ms) + abs(c.end_ms - f.end_ms), f.cue_id) = 1)
+"""
+
+
+@_register(f"with {_MATCH} select cue_id, frag_id, frag_start_ms, frag_end_ms, diff_ms from best")
+def fragment_match(spark, d):
+    return match.match_fragments(*_sides(spark, d))
+
+
+@_register(f"with {_MATCH} select cue_id, start_ms, text from cues where track = 'click' and cue_id not in (select cue_id from best)")
+def fragment_unmatched(spark, d):
+    c, f = _sides(spark, d)
+    return match.unmatched(c, match.match_fragments(c, f)).select("cue_id", "start_ms", "text")
+
+
+@_register(f"with {_MATCH} select count(*) as n_cues, count(b.cue_id) as n_matched, count(*) - count(b.cue_id) as n_unmatched from cues c left join best b using (cue_id) where track = 'click'")
+def match_counts(spark, d):
+    c, f = _sides(spark, d)
+    m = match.match_fragments(c, f).select("cue_id", F.lit(1).alias("hit"))
+    return c.join(m, "cue_id", "left").agg(F.count("*").alias("n_cues"), F.count("hit").alias("n_matched"), (F.count("*") - F.count("hit")).alias("n_unmatched"))
+
+
+@_register(f"with {CUES} select cue_id as frag_id, 'f' || cue_id || '.wav' as file from cues where track = 'view' and cue_id % 3 = 0")
+def fragments_with_file(spark, d):
+    f = _sides(spark, d)[1].withColumn("file", F.format_string("f%d.wav", "frag_id"))
+    return match.existing(f, f.where("frag_id % 3 = 0").select("file")).select("frag_id", "file")
+
+
+# --- timelines ------------------------------------------------------------------------------------------------------
+
+
+@_register(f"with {MEDIA} select media_id, row_number() over (partition by media_id order by start_ms) - 1 as frag_id, start_ms, end_ms from media")
+def chunk_stitch(spark, d):
+    """Cut at chunk borders and stitched again, the spans are what they were."""
+    return timeline.stitch(timeline.cut_at_chunks(views.media(spark, d))).select("media_id", "frag_id", "start_ms", "end_ms")
+
+
+@_register(f"""
+with {MEDIA}, c as (select media_id, start_ms as s, end_ms as e, unnest(range(start_ms // 30000, (end_ms - 1) // 30000 + 1)) as chunk_no from media),
+x as (select media_id, chunk_no, greatest(s, chunk_no * 30000) as start_ms, least(e, (chunk_no + 1) * 30000) as end_ms from c)
+select *, abs(end_ms - (chunk_no + 1) * 30000) < 100 as is_incomplete from x
+""")
+def chunk_segments(spark, d):
+    return timeline.incomplete(timeline.cut_at_chunks(views.media(spark, d)))
+
+
+@_register(f"""
+with {MEDIA}, t as (select media_id, max(end_ms) as total_ms from media group by media_id),
+c as (select media_id, total_ms, unnest(range(0, cast(ceil(total_ms / 3000000.0) as bigint))) as chunk_no from t)
+select media_id, chunk_no, chunk_no * 3000000 as start_ms, least((chunk_no + 1) * 3000000, total_ms) as end_ms from c
+""")
+def chunk_bounds(spark, d):
+    total = views.media(spark, d).groupBy("media_id").agg(F.max("end_ms").alias("total_ms"))
+    return timeline.chunk_bounds(total, 3_000_000)
+
+
+@_register(f"""
+with {MEDIA}, t as (select media_id, 8000::bigint * 300 as size, max(end_ms) // 100 * 8 as n from media group by media_id),
+c as (select *, unnest(range(0, cast(ceil(n / size::double) as bigint))) as chunk_no from t)
+select media_id, chunk_no, chunk_no * size as first_sample, least(size, n - chunk_no * size) as n_samples from c
+""")
+def sample_chunks(spark, d):
+    m = views.media(spark, d).groupBy("media_id").agg((F.floor(F.max("end_ms") / 100) * 8).alias("n_samples")).withColumn("sample_rate", F.lit(8000))
+    return timeline.sample_chunks(m)
+
+
+@_register(f"with {CUES} select cue_id, start_ms * 16000 // 1000 as at_16k, least(start_ms * 44100 // 1000, 100000000) as at_44k, printf('%s_%06d_%010d_%010d.wav', track, cue_id, start_ms, end_ms) as file from cues")
+def sample_positions(spark, d):
+    s = F.col("start_ms")
+    return views.cues(spark, d).select("cue_id", timecode.sample_index(s, F.lit(16000)).alias("at_16k"), timecode.sample_index(s, F.lit(44100), F.lit(100000000)).alias("at_44k"), languages.fragment_name(F.col("track"), F.col("cue_id"), s, F.col("end_ms")).alias("file"))
+
+
+# --- audio ----------------------------------------------------------------------------------------------------------
+
+
+@_register(f"""
+with {CUES}, s as (select user_id, cue_id, start_ms // 1000 as first, end_ms // 1000 as last from cues where user_id % 10 = 0),
+x as (select user_id, cue_id, unnest(range(first, last + 1)) as sample from s)
+select cast(user_id as varchar) as media_id, sample, max(cue_id) as value from x group by user_id, sample
+""")
+def overlay_lww(spark, d):
+    c = views.cues(spark, d).where("user_id % 10 = 0")
+    return audio.overlay_samples(c.select(F.col("user_id").cast("string").alias("media_id"), F.col("cue_id").alias("ord"), F.floor(F.col("start_ms") / 1000).alias("first"), F.floor(F.col("end_ms") / 1000).alias("last"), F.col("cue_id").alias("value")))
+
+
+@_register(f"""
+with {CUES}, s as (select track, cue_id, start_ms % 60000 as first, 1 + cue_id % 5 as n from cues),
+x as (select track, cue_id, unnest(range(first, first + n)) as sample from s),
+v as (select track, sample, max(cue_id) as value from x where sample < 60000 group by track, sample),
+f as (select distinct event_type as track, unnest(range(0, 15)) as frame_no from events)
+select f.track as media_id, frame_no, coalesce(sum(value), 0) as total, count(value) as n_set from f left join v on v.track = f.track and v.sample // 4096 = f.frame_no group by f.track, frame_no
+""")
+def mix_down(spark, d):
+    """One-sample steps at 1 kHz: each cue writes its number, later cues over earlier ones."""
+    c = views.cues(spark, d)
+    seg = c.select(F.col("track").alias("media_id"), F.col("cue_id").alias("ord"), F.expr("start_ms % 60000").alias("start_ms"), F.lit(1000).alias("sample_rate"), F.expr("transform(sequence(0, cast(cue_id % 5 as int)), x -> cast(cue_id as float))").alias("pcm"))
+    media = c.select(F.col("track").alias("media_id")).distinct().select("media_id", F.lit(60000).cast("bigint").alias("total_ms"), F.lit(1000).alias("sample_rate"))
+    frames = audio.mix_down(seg, media, frame=4096)
+    total = F.aggregate("pcm", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    return frames.select("media_id", "frame_no", total.alias("total"), F.size(F.filter("pcm", lambda x: x != 0)).cast("bigint").alias("n_set"))
+
+
+@_register("select cast(label as varchar) as media_id, case when count(*) filter (vec_id % 50 = 49) = 0 then count(*) * 64 end as n_samples from embeddings group by label")
+def chunk_concat(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("media_id"), F.col("vec_id").alias("chunk_no"), F.expr("case when vec_id % 50 <> 49 then embedding end").alias("pcm"))
+    return audio.concat_chunks(e).select("media_id", F.when(F.col("pcm").isNotNull(), F.size("pcm")).cast("bigint").alias("n_samples"))
+
+
+@_register(f"with {CUES} select track as media_id, max(end_ms) as total_ms, count(distinct 8000 * (1 + cue_id % 3)) as n_rates from cues group by track")
+def media_durations(spark, d):
+    c = views.cues(spark, d).select(F.col("track").alias("media_id"), "end_ms", F.expr("cast(8000 * (1 + cue_id % 3) as int)").alias("sample_rate"))
+    return audio.durations(c).drop("rates")
+
+
+# --- refinement -----------------------------------------------------------------------------------------------------
+
+
+@_register(f"with {CALLS} select track, call_seq, name, pos from calls where pos <> 0 and (name = 'this_is_fine' or name = 'this_should_be' and first_text <> '' and second_text <> '')")
+def valid_calls(spark, d):
+    return refine.valid_calls(views.calls(spark, d)).select("track", "call_seq", "name", "pos")
+
+
+_APPLIED = f"""
+{STATE}, {CALLS},
+valid as (select * from calls where pos <> 0 and (name = 'this_is_fine' or name = 'this_should_be' and first_text <> '' and second_text <> '')),
+per as (select track, pos, arg_max(first_text, call_seq) filter (name = 'this_should_be') as f, arg_max(second_text, call_seq) filter (name = 'this_should_be') as s from valid group by track, pos),
+applied as (select s.track, s.pos, case when p.pos is not null then 'finished' else s.state end as state, case when p.f is not null then p.s || chr(10) || p.f else s.text end as text, p.f as first_text, p.s as second_text
+  from state s left join per p on p.track = s.track and p.pos = s.pos)
+"""
+
+
+def _some_calls(spark, d):
+    return views.calls(spark, d).where("call_seq % 3 = 1")
+
+
+_SOME = _APPLIED.replace("from events)", "from events where event_id % 3 = 1)", 2).replace("from events where event_id % 3 = 1), (select", "from events), (select", 1)
+
+
+@_register(f"with {_APPLIED} select * from applied")
+def apply_calls(spark, d):
+    return refine.apply_calls(views.state(spark, d), views.calls(spark, d)).select("track", "pos", "state", "text", "first_text", "second_text")
+
+
+@_register(f"""
+with {_SOME}
+select track, count(*) as total, count(*) filter (state = 'finished') as finished, count(first_text) as refined, coalesce(min(pos) filter (state = 'unfinished'), -1) as first_unfinished, round(100.0 * count(first_text) / count(*), 1) as refined_percent
+from applied group by track
+""")
+def refine_progress(spark, d):
+    return refine.progress(refine.apply_calls(views.state(spark, d), _some_calls(spark, d)))
+
+
+@_register(f"""
+with {_SOME},
+p as (select track, count(*) as total, min(pos) filter (state = 'unfinished') as f from applied group by track),
+b as (select track, f, case when greatest(f - 5, 1) + 9 > total then greatest(total - 9, 1) else greatest(f - 5, 1) end as a, least(greatest(f - 5, 1) + 9, total) as z from p where f is not null)
+select b.track, a as win_start, z as win_end, f as first_unfinished, count(*) filter (pos < f and state = 'finished') as context_count, count(*) filter (state = 'unfinished') as unfinished_count
+from b join applied s on s.track = b.track and pos between a and z group by b.track, a, z, f
+""")
+def refine_windows(spark, d):
+    return refine.windows(refine.apply_calls(views.state(spark, d), _some_calls(spark, d)), 10)
+
+
+@_register(f"with {CUES}, n as (select track, row_number() over (partition by track order by start_ms, cue_id) as pos from cues) select track, pos, case when pos <= 10 then 1 else 2 + (pos - 11) // 5 end as round_no from n")
+def window_schedule(spark, d):
+    n = cues.number_cues(views.cues(spark, d), "pos")
+    return n.select("track", "pos", refine.schedule_round(F.col("pos"), 10).alias("round_no"))
+
+
+@_register(f"""
+with {STATE}, e as (select track, (pos - 1) // 10 as win, pos, 'Subtitle #' || pos || ':' || chr(10) || '  Target: ' || track || chr(10) || '  Source: ' || pos || chr(10) as t from state)
+select track, win, string_agg(t, chr(10) order by pos) as prompt from e group by track, win
+""")
+def window_text(spark, d):
+    return refine.window_text(views.state(spark, d).withColumn("win", F.floor((F.col("pos") - 1) / 10)))
+
+
+@_register(f"""
+with {STATE}, f as (select track, min(pos) filter (state = 'unfinished') as f from state group by track)
+select track, pos, '  ' || case state when 'finished' then '✓' else '○' end || ' [' || pos || '] ' || track || ' | ' || pos || case when pos = f then ' ← CENTER' else '' end as line from state join f using (track)
+""")
+def window_display(spark, d):
+    s = views.state(spark, d)
+    first = refine.progress(s).select("track", "first_unfinished")
+    return refine.window_display(s.join(first, "track").withColumn("is_center", F.col("pos") == F.col("first_unfinished")))
+
+
+@_register("select r_regionkey, r_name, unnest(range(3, 8)) as speaker_id from region")
+def speaker_grid(spark, d):
+    return grid.speaker_grid(table(spark, d, "region").select("r_regionkey", "r_name"), 3, 7)
+
+
+@_register("""
+select event_type, count(*) as total, count(*) filter (value > 100) as succeeded, count(*) filter (not value > 100) as failed,
+  round(100.0 * count(*) filter (value > 100) / count(*), 1) as success_percent, floor(avg(cast(floor(value) as bigint)))::bigint as mean_ms
+from events group by event_type
+""")
+def run_summary(spark, d):
+    e = table(spark, d, "events").select("event_type", (F.col("value") > 100).alias("ok"), F.floor("value").alias("ms"))
+    return grid.run_summary(e, ("event_type",))

@@ -21,7 +21,7 @@ def parse_srt(files: DataFrame, dialect: str = "strict", mode: str = "drop") ->
     content = F.col("content")
     if dialect == "lenient":
         content = F.regexp_replace(F.regexp_replace(content, "\r\n", "\n"), "\r", "\n")
-        content = F.regexp_replace(content, "﻿", "")
+        content = F.regexp_replace(content, r"\x{FEFF}", "")
     parted = F.split(strip(content), r"\n\s*\n" if dialect == "lenient" else r"\n\n+", -1)
     rows = files.where("content is not null").select("track", F.posexplode(parted).alias("ord", "entry")).withColumn("entry", strip(F.col("entry"))).where("entry <> ''")
     lines = F.split(F.col("entry"), "\n", -1)
