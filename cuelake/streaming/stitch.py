@@ -14,13 +14,13 @@ OUT = "media_id string, frag_id bigint, start_ms bigint, end_ms bigint, n_parts
 STATE = "frag_id bigint, start_ms bigint, end_ms bigint, chunk_no bigint, n_parts bigint"
 
 
-def stitch_stream(segments: DataFrame, chunk_ms: int = CHUNK_MS, edge_ms: int = EDGE_MS, gap_ms: int = GAP_MS, idle: str = "10 minutes") -> DataFrame:
+def stitch_stream(segments: DataFrame, chunk_ms: int = CHUNK_MS, edge_ms: int = EDGE_MS, gap_ms: int = GAP_MS, idle_ms: int | None = None) -> DataFrame:
     """Spans of a stream (media_id, chunk_no, start_ms, end_ms, is_last), whose segments come in order per medium.
 
     A span comes out when the next segment doesn't continue it, when its medium's last segment (is_last) has come,
-    or when no segment has come for the idle time. Numbers and joins are as in stitch.
+    or, if idle_ms is given, when none of its segments has come for so long. A query with idle_ms never runs out
+    of batches, so it can't be drained with availableNow. Numbers and joins are as in stitch.
     """
-    minutes = int(idle.split()[0])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
@@ -46,7 +46,8 @@ def stitch_stream(segments: DataFrame, chunk_ms: int = CHUNK_MS, edge_ms: int =
             state.remove() if state.exists else None
         elif now:
             state.update(tuple(int(x) for x in now))
-            state.setTimeoutDuration(minutes * 60_000)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["media_id", "frag_id", "start_ms", "end_ms", "n_parts"])
 
-    return segments.groupBy("media_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return segments.groupBy("media_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
