@@ -200,8 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     chosen = chosen.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
     # at most max_labelled rows of two numbers: small enough for every task
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    stats = with_statistics(rows).where(~base_failed()).select("all.doc_id", "all.quality", "f.*").collect()
-    stats.sort(key=tuple)
+    # the base rules sort rows out here: as a filter in the plan, the optimizer would move it, with all statistics, below the join
+    found = with_statistics(rows).select("all.doc_id", "all.quality", "f.*", base_failed().alias("failed")).collect()
+    stats = sorted((r for r in found if not r["failed"]), key=tuple)
     x = np.array([[r[k] for k in FEATURES] for r in stats], float).reshape(len(stats), len(FEATURES))
     return learn(x, np.array([r["quality"] == 0 for r in stats], bool))
 
