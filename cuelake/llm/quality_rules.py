@@ -160,7 +160,8 @@ def _worth(rule: Sequence[Test], x: np.ndarray, bad: np.ndarray) -> float:
 def learn(x: np.ndarray, bad: np.ndarray, max_rules: int = 16, max_tests: int = 4, min_precision: float = 0.9, min_cover: int = 3) -> DecisionList:
     """Sequential covering. Each rule is grown on two thirds of the rows, pruned on the rest, then its rows are removed.
 
-    A rule is accepted if at least min_precision of all remaining rows that it covers are bad, and min_cover are.
+    A rule is accepted, pruned or else as grown, if at least min_precision of all remaining rows that it covers are
+    bad, and min_cover are.
     One class, or no rows: no rules.
     """
     out, left = DecisionList(), np.arange(len(x))
@@ -179,12 +180,14 @@ def learn(x: np.ndarray, bad: np.ndarray, max_rules: int = 16, max_tests: int =
             gx, gy = gx[hit], gy[hit]
         if not rule:
             break
-        px, py = xs[~grow], ys[~grow]
+        px, py, grown = xs[~grow], ys[~grow], rule
         while len(rule) > 1 and _worth(rule[:-1], px, py) >= _worth(rule, px, py):
             rule = rule[:-1]
-        hit = _holds(rule, xs)
-        if ys[hit].sum() < min_cover or ys[hit].mean() < min_precision:
+        good = [x for x in (rule, grown) if ys[hit := _holds(x, xs)].sum() >= min_cover and ys[hit].mean() >= min_precision]
+        if not good:
             break
+        rule = good[0]
+        hit = _holds(rule, xs)
         out.rules.append(rule)
         left = left[~hit]
     return out

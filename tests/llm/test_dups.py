@@ -175,11 +175,11 @@ def brute_leaks(rows, items):
         for i, x in items:
             want = Counter(grams(WORD.findall((x or "").translate(LOW))))
             m = sum(want.values())
-            for s in range(1 - m, len(g)):
+            for s in range(1 - m, len(g) if m else 0):
                 a = Counter(g[max(0, s) : s + m])
                 inter = sum((a & want).values())
                 v = inter / (sum(a.values()) + m - inter)
-                if m and v >= 0.8:
+                if v >= 0.8:
                     out[(d, i)] = max(v, out.get((d, i), 0))
     return out
 

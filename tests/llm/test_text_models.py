@@ -84,13 +84,13 @@ def test_counts_against_brute_force(spark):
 
 
 def test_rules_are_learned_and_ordered(spark, sf_dir):
-    x = np.zeros((300, len(quality_rules.FEATURES)))
+    x = np.zeros((1500, len(quality_rules.FEATURES)))
     r = np.random.default_rng(0)
-    x[:, 2], x[:, 5] = r.random(300), r.random(300)
+    x[:, 2], x[:, 5] = r.random(1500), r.random(1500)
     bad = (x[:, 2] > 0.8) | ((x[:, 5] > 0.9) & (x[:, 2] < 0.5))
     rules = quality_rules.learn(x, bad)
     assert 1 < len(rules.rules) <= 6 and (rules.rejects(x) == bad).mean() > 0.97
-    assert quality_rules.learn(x, np.zeros(300, bool)).rules == [] and quality_rules.learn(x[:0], bad[:0]).rules == []
+    assert quality_rules.learn(x, np.zeros(1500, bool)).rules == [] and quality_rules.learn(x[:0], bad[:0]).rules == []
     assert "CASE WHEN" in str(rules.keeps())
     docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
     fitted = quality_rules.fit(docs, labels)
@@ -123,7 +123,7 @@ def labelled(spark, n=600):
         if toxic:
             for _ in range(max(1, len(w) // 30)):
                 w[r.randrange(len(w))] = r.choice(("stupid", "moron", "stup1d"))
-        elif i % 4 == 1:
+        elif i % 16 == 1:
             at = r.randrange(len(w) - 1)
             w[at : at + 2] = ["moron", "bay"]
         rows.append((i, " ".join(w), "en", "s", 0))
@@ -171,9 +171,9 @@ def test_conversations_read_back(spark):
         ts = sorted(ts)
         assert [(a, b) for a, b in back[c].turns] == [(role, text) for _, _, role, text in ts], c
         assert back[c].loss_text == "".join(text for _, _, role, text in ts if role == "assistant"), c
+    most = {c: max(len(x[3].encode()) / 4 + 5 for x in ts) for c, ts in turns.items()}
     for w in wins.collect():
-        if w.n_own > 1 + (w.window_no == 0):
-            assert w.n_tokens <= chat.BUDGET or w.n_own <= 2
+        assert w.n_tokens <= chat.BUDGET or most[w.conv_id] > 200
         assert w.n_repeated <= chat.HISTORY_TURNS + 1
         for s in w.loss:
             assert w.formatted[s.start + s.length :].startswith("<|end|>")
