@@ -383,7 +383,7 @@ with {CUES}, s as (select track, cue_id, start_ms % 60000 as first, 1 + cue_id %
 x as (select track, cue_id, unnest(range(first, first + n)) as sample from s),
 v as (select track, sample, max(cue_id) as value from x where sample < 60000 group by track, sample),
 f as (select distinct event_type as track, unnest(range(0, 15)) as frame_no from events)
-select f.track as media_id, frame_no, coalesce(sum(value), 0) as total, count(*) filter (value <> 0) as n_set from f left join v on v.track = f.track and v.sample // 4096 = f.frame_no group by f.track, frame_no
+select f.track as media_id, frame_no, cast(coalesce(sum(value), 0) as bigint) as total, count(*) filter (value <> 0) as n_set from f left join v on v.track = f.track and v.sample // 4096 = f.frame_no group by f.track, frame_no
 """)
 def mix_down(spark, d):
     """One-sample steps at 1 kHz: each cue writes its number, later cues over earlier ones."""
