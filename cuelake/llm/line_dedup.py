@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, partitions, pick, table
+from .common import SPACE, ascii_lower, partitions, pick, table, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -46,7 +46,8 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     n = partitions(spark)
     found = found.repartitionByRange(n, "h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     common = found.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    lost = found.join(common, ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
+    # read as a table, the common keys are a side of their own exchange, and a hot key's rows can be split in the join
+    lost = found.join(written(common, "common"), ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
     lost = lost.groupBy("doc_id", "row_h", "row_n").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
     first = F.filter("lost", lambda p, i: (i == 0) | (F.get(F.col("lost"), i - 1) != p - 1))
     last = F.filter("lost", lambda p, i: (i == F.size("lost") - 1) | (F.get(F.col("lost"), i + 1) != p + 1))
