@@ -14,19 +14,13 @@ def strip(text: Column) -> Column:
 
 
 def _wrapped(line: Column, width: int) -> Column:
-    """The lines that greedy filling makes of one line; a word longer than the width stands alone."""
-    words = F.filter(F.split(line, _EDGE), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
-
-    def add(acc: Column, w: Column) -> Column:
-        longer = F.concat(acc["now"], F.lit(" "), w)
-        return (
-            F.when(acc["now"].isNull(), F.struct(acc["done"].alias("done"), w.alias("now")))
-            .when(F.length(longer) <= width, F.struct(acc["done"].alias("done"), longer.alias("now")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), w.alias("now")))
-        )
-
-    return F.aggregate(words, start, add, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+    """The lines that greedy filling makes of one line; a word longer than the width stands alone.
+
+    A pattern takes the longest run of whole words that fits, so a line costs its length, however many words it has.
+    """
+    words = F.array_join(F.filter(F.split(line, _EDGE), lambda w: w != ""), " ")
+    fits = "" if width < 2 else f"(?:.{{0,{width - 2}}}[^ ])?"
+    return F.regexp_extract_all(words, F.lit(f"(?s)[^ ]{fits}(?= |$)|[^ ]+"), F.lit(0))
 
 
 def clean_text(text: Column, width: int = 80) -> Column:
