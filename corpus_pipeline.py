@@ -14,8 +14,8 @@ from cuelake.llm.common import pick, table, written
 from cuelake.llm.decontam import decontaminate
 from cuelake.llm.line_dedup import line_dedup
 from cuelake.llm.mixing import mix_sources
+from cuelake.llm.near_text import keep_one_text
 from cuelake.llm.quality_rules import fit, keep_good
-from cuelake.llm.simhash_dedup import keep_one
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,8 +37,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
-    return keep_one(pick(docs, *COLUMNS))
+    """Of each group of texts linked at similarity 0.8 or more (shingles of five words) the smallest doc_id stays."""
+    return keep_one_text(pick(docs, *COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

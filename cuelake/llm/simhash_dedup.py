@@ -190,7 +190,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of rows that repeat that doc_id one stays. Rows whose component has no doc_id at all stay.
     """
-    keep = near_duplicates(docs, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return keep_least(docs, near_duplicates(docs, radius))
+
+
+def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """As keep_one, by the component_id that classes has for every doc_id."""
+    keep = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.struct("*").alias("all"))
     rows = rows.join(keep, F.col("all.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("all.*")
     known = rows.where("doc_id is not null").dropDuplicates(["doc_id"])
