@@ -222,8 +222,8 @@ n as (select *, row_number() over (partition by track order by start_ms, cue_id)
 select track, number, number || chr(10) || {timecode_sql('start_ms')} || ' --> ' || {timecode_sql('end_ms')} || chr(10) || text || chr(10) as entry from n where length(text) <= 80
 """)
 def srt_entries(spark, d):
-    """Entries whose text needs no wrapping; wrap_text checks the rest."""
-    return srt.srt_entries(views.cues(spark, d)).where(F.length(F.split("entry", "\n", 4)[2]) == F.length("entry") - F.length(F.substring_index("entry", "\n", 2)) - 2)
+    """All entries. The SQL has those whose text needs no wrapping; a test holds the rest against textwrap."""
+    return srt.srt_entries(views.cues(spark, d))
 
 
 def _files(spark, d):
