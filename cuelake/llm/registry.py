@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.ORACLE_SQL,
         "op6_line_dedup": line_dedup.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
+        "op10_chat_format": chat.ORACLE_SQL,
     }
