@@ -84,7 +84,7 @@ def pages_of(spark, rows):
 
 def test_archive_reads_back(spark):
     big, small = "é" * 600, "tiny"
-    rows = [(1, "http://a/\r\nX: y", big), (5, "u", big), (3, None, big), (2, "u", small), (4, "u", small), (6, "u", None), (7, "u", ""), (5, "u", big), (None, "u", big)]
+    rows = [(8, "a%0A\nb%", "x\r\n\r\ny" * 400_000), (9, "", "\r\n\r\n"), (1, "http://a/\r\nX: y", big), (5, "u", big), (3, None, big), (2, "u", small), (4, "u", small), (6, "u", None), (7, "u", ""), (5, "u", big), (None, "u", big)]
     path = warc.write_archive(pages_of(spark, rows).withColumn("sha256", F.lit("mine")), shared_path(spark, "t"))
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.scan_archive(spark, path).collect())
     sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
@@ -93,8 +93,11 @@ def test_archive_reads_back(spark):
         revisit = t == big and i != 5
         want[(i, len((t or "").encode()), sha(t), "revisit" if revisit else "response", 5 if revisit else None)] += 1
     assert got == want
-    assert warc.read_payloads(spark, path).count() == 3
-    raw = [bytes(r.record) for r in warc.reconstruct(spark, path).collect()]
+    assert Counter((r.page_id, r.url) for r in warc.scan_archive(spark, path).collect()) == Counter((i, u) for i, u, _ in rows)
+    assert warc.read_payloads(spark, path).count() == 5
+    records = warc.reconstruct(spark, path).collect()
+    assert Counter(bytes(r.payload).decode() for r in records) == Counter(t or "" for _, _, t in rows)
+    raw = [bytes(r.record) for r in records]
     assert len(raw) == len(rows)
     for r in raw:
         head, _, block = r.partition(b"\r\n\r\n")
@@ -106,6 +109,17 @@ def test_archive_reads_back(spark):
     assert sum(b"Revisit" in r or b"WARC-Type: revisit" in r for r in raw) == 3
 
 
+def test_headers_that_name_another_payload_are_noticed(spark):
+    path = warc.write_archive(pages_of(spark, [(1, "u", "x"), (2, "u", "y")]), shared_path(spark, "t"))
+    for old, new, error in (("sha1:", "sha1:0", "don't name"), ("application/http; msgtype=response\r\nContent-Length: ", "application/http\r\nContent-Length: 1", "not as long")):
+        other = shared_path(spark, "t")
+        r = warc.read_records(spark, path)
+        r.withColumn("headers", F.encode(F.replace(F.decode("headers", "UTF-8"), F.lit(old), F.lit(new)), "UTF-8")).write.parquet(f"{other}/records")
+        warc.read_payloads(spark, path).write.parquet(f"{other}/payloads")
+        with pytest.raises(Exception, match=error):
+            warc.scan_archive(spark, other).collect()
+
+
 def test_damaged_payload_is_noticed(spark):
     path = warc.write_archive(pages_of(spark, [(1, "u", "x")]), shared_path(spark, "t"))
     spark.createDataFrame([("00", bytearray(b"y"))], "sha256 string, payload binary").write.mode("append").parquet(f"{path}/payloads")
