@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,14 +16,31 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A table of more bytes than this that comes in fewer splits than there are cores is dealt out to all cores.
+SPREAD_BYTES = 4 << 20
+#: A side of a join goes to every task only if it was measured, and has at most so many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it lies there. A file of one row group would else be read, and all that follows done, by one core."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    large = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES
+    return df.repartition(cores) if large and df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """df, to be broadcast if its measured size in bytes is within the bound; beyond it the same join shuffles."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is made only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). A local one is made only for a local master without that setting, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="cuelake-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,6 +59,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and nothing will read again."""
+    for t in tables:
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often body (or a lambda in it) names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -63,5 +89,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[(F.col(f"`{n}`") if n in df.columns else F.lit(None).cast(kinds.get(n, "string"))).alias(n) for n in names])
 
 
+def text_key(text: Column, h: str = "text_h", n: str = "text_n") -> list[Column]:
+    """Tells texts apart: a hash and the length in bytes (null: -1), as two columns of these names."""
+    return [F.xxhash64(text).alias(h), F.coalesce(F.octet_length(text), F.lit(-1)).alias(n)]
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))

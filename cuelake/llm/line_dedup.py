@@ -1,17 +1,18 @@
 """Line deduplication across documents, with DataFrame functions only.
 
-Lines are keyed by a 128-bit hash. Occurrences are range-partitioned by (hash, document, position), so that
-one hash that is in a third of all documents is spread over many tasks; each task streams its sorted run into
-one row per hash and document, and the partial counts of a hash that crosses partitions meet in a second,
-pre-aggregated step. What comes back for a document is a run-length bitmap of the lines it loses, not its text.
+Lines are keyed by a 128-bit hash. One scan of the texts writes a row per line; these rows are range-partitioned by
+(hash, document) and sorted by (hash, document, position), so one hash that is in a third of all documents is spread
+over many tasks. Each task streams its sorted run: the first occurrence of a hash in a document counts once, and a
+task sends one partial count per hash. The sorted runs, as a table, then meet the common keys. What comes back for a
+document is a run-length bitmap of the lines it loses, not its text; a second scan applies it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, partitions, pick, table, written
+from .common import SPACE, ascii_lower, discard, partitions, pick, table, text_key, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -24,30 +25,30 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
-def _row_key(text: Column) -> list[Column]:
-    """Tells rows of one doc_id apart; rows alike in it are alike, and so are their bitmaps."""
-    return [F.xxhash64(text).alias("row_h"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("row_n")]
-
-
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Bitmaps of the documents that lose lines: doc_id, row_h, row_n, runs array<struct<first:int,last:int>>.
 
     A key (stripped, A-Z in lower case, at least min_chars code points) found in at least min_docs documents
     loses all lines except those in the largest doc_id that holds it.
+    Rows alike in doc_id and text have one bitmap, told by a hash and the length of the text (row_h, row_n).
     Null or empty text is one empty line and loses nothing. A null doc_id is no document: it counts for no key
     and loses nothing. Rows that repeat a doc_id are one document. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     d = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    lines = d.select("doc_id", *_row_key(F.col("text")), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    lines = d.select("doc_id", *text_key(F.col("text"), "row_h", "row_n"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     lines = lines.where(F.length("line") >= min_chars).withColumn("line", F.btrim("line", F.lit(SPACE))).where(F.length("line") >= min_chars)
     key = ascii_lower(F.col("line"))
-    found = lines.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), "doc_id", "pos", "row_h", "row_n")
-    n = partitions(spark)
-    found = found.repartitionByRange(n, "h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    common = found.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    # written first: the sampling of range borders would else scan and split the texts once more
+    found = written(lines.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), "doc_id", "pos", "row_h", "row_n"), "lines")
+    # ranges of (hash, document) hold all of a document's occurrences of a hash, so the window below needs no exchange
+    runs = found.repartitionByRange(partitions(spark), "h1", "h2", "doc_id")
+    order = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos", "row_h", "row_n")
+    runs = written(runs.withColumn("first", F.row_number().over(order) == 1), "runs")
+    discard(found)
+    common = runs.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
     # read as a table, the common keys are a side of their own exchange, and a hot key's rows can be split in the join
-    lost = found.join(written(common, "common"), ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
+    lost = runs.join(written(common, "common"), ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
     lost = lost.groupBy("doc_id", "row_h", "row_n").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
     first = F.filter("lost", lambda p, i: (i == 0) | (F.get(F.col("lost"), i - 1) != p - 1))
     last = F.filter("lost", lambda p, i: (i == F.size("lost") - 1) | (F.get(F.col("lost"), i + 1) != p + 1))
@@ -65,7 +66,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     maps = maps.select(F.struct("doc_id", "row_h", "row_n").alias("of"), F.col("runs").alias("lost_runs"))
     rows = docs.select(F.struct("*").alias("all"))
     text = F.coalesce(F.col("all.text"), F.lit(""))
-    rows = rows.withColumns({"row_h": F.xxhash64("all.text"), "row_n": F.coalesce(F.octet_length("all.text"), F.lit(-1))})
+    rows = rows.select("all", *text_key(F.col("all.text"), "row_h", "row_n"))
     o = F.col("of")
     joined = rows.join(maps, (F.col("all.doc_id") == o["doc_id"]) & (F.col("row_h") == o["row_h"]) & (F.col("row_n") == o["row_n"]), "left")
     joined = joined.withColumn("lines", split_lines(F.col("all.text")))
