@@ -60,8 +60,13 @@ def statistics(text: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) as struct column all, with struct column s of counts and struct column f of features."""
-    d = docs.select(F.struct("*").alias("all")).withColumn("s", statistics(F.col("all.text")))
+    """docs (doc_id, text and others) as struct column all, with struct column s of counts and struct column f of features.
+
+    The counts come through a generator of one row each: a filter or join above can't be moved below it, where the
+    optimizer would state, and compute, the counts anew for every test on them.
+    """
+    d = docs.select(F.struct("*").alias("all"))
+    d = d.select("all", F.explode(F.array(statistics(F.col("all.text")))).alias("s"))
     n, chars = F.greatest(F.col("s.w.n"), F.lit(1)), F.greatest(F.col("s.w.chars"), F.lit(1))
     values = {
         "n_words": F.col("s.w.n").cast("double"), "word_length": F.col("s.w.chars") / n, "symbol_rate": F.col("s.symbols") / n,
@@ -203,9 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     chosen = chosen.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
     # at most max_labelled rows of two numbers: small enough for every task
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    # the base rules sort rows out here: as a filter in the plan, the optimizer would move it, with all statistics, below the join
-    found = with_statistics(rows).select("all.doc_id", "all.quality", "f.*", base_failed().alias("failed")).collect()
-    stats = sorted((r for r in found if not r["failed"]), key=tuple)
+    found = with_statistics(rows).where(~base_failed()).select("all.doc_id", "all.quality", "f.*").collect()
+    stats = sorted(found, key=tuple)
     x = np.array([[r[k] for k in FEATURES] for r in stats], float).reshape(len(stats), len(FEATURES))
     return learn(x, np.array([r["quality"] == 0 for r in stats], bool))
 
@@ -224,7 +228,11 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept, with all their columns.
+
+    A null, empty or blank text fails the base rules and goes. Rows are judged one by one, so rows that repeat a doc_id
+    and rows without one stay or go with their own text. An empty table stays empty.
+    """
     d = with_statistics(docs).where(~base_failed() & rules.keeps())
     return d.select("all.*")
 
