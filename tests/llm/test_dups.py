@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cuelake.llm import components, decontam, simhash_dedup, suffix_dedup
+from cuelake.llm import common, components, decontam, simhash_dedup, suffix_dedup
 
 DOCS = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,13 +168,16 @@ def test_components_of_a_path_and_loops(spark):
 
 
 def brute_leaks(rows, items):
-    grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    grams = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
     out = {}
     for d, t in rows:
-        g = grams(WORD.findall((t or "").translate(LOW)))
         for i, x in items:
-            want = Counter(grams(WORD.findall((x or "").translate(LOW))))
-            m = sum(want.values())
+            w = WORD.findall((x or "").translate(LOW))
+            k = min(5, len(w))
+            g, want = grams(WORD.findall((t or "").translate(LOW)), k), Counter(grams(w, k))
+            m = sum(want.values()) if k else 0
+            if not want.keys() & set(g):
+                continue
             for s in range(1 - m, len(g) if m else 0):
                 a = Counter(g[max(0, s) : s + m])
                 inter = sum((a & want).values())
@@ -186,7 +189,7 @@ def brute_leaks(rows, items):
 
 def test_leaks_against_brute_force(spark):
     r = random.Random(8)
-    items = [(k, words(r, r.randint(12, 40))) for k in range(10)] + [(10, "too short"), (11, None), (12, ""), (13, "a b a b a b a b a b a b a b"), (0, words(r, 15))]
+    items = [(k, words(r, r.randint(12, 40))) for k in range(10)] + [(10, "too short"), (11, None), (12, ""), (13, "a b a b a b a b a b a b a b"), (0, words(r, 15)), (14, "One"), (15, "so it ENDS here"), (16, "b a b")]
     rows = []
     for d in range(60):
         t = items[r.randrange(10)][1].split()
@@ -202,7 +205,7 @@ def test_leaks_against_brute_force(spark):
         elif kind == 5:
             t[-1] += "###"
         rows.append((d, f"{words(r, r.choice((0, 30)))}\n{' '.join(t)}\t{words(r, r.choice((0, 30)))}"))
-    rows += [(100, None), (101, ""), (102, "b a b a b a b a b a b a b a b"), (5, rows[0][1]), (None, rows[0][1]), (103, f"{words(r, 5000)} {items[3][1]} {words(r, 5000)}")]
+    rows += [(100, None), (101, ""), (102, "b a b a b a b a b a b a b a b"), (5, rows[0][1]), (None, rows[0][1]), (103, f"{words(r, 5000)} {items[3][1]} {words(r, 5000)}"), (104, "and so it ends here"), (105, "one"), (106, "too short"), (107, f"x {items[4][1]} " * 30)]
     df, bench = spark.createDataFrame(rows, DOCS).withColumns({"at": F.lit(1), "h": F.lit("x"), "of": F.lit("y")}), spark.createDataFrame(items, "item_id long, text string")
     want = brute_leaks(rows, items)
     got = {(x.doc_id, x.item_id): x.similarity for x in decontam.find_leaks(df, bench).collect()}
@@ -221,7 +224,43 @@ def test_shuffled_sides_give_the_same(spark, monkeypatch):
     rows = [(d, f"{words(r, 10)} {items[d % 3][1]}") for d in range(6)]
     df, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(tuple, decontam.find_leaks(df, bench).collect()))
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, decontam.find_leaks(df, bench).collect())) == want
     plan = decontam.find_leaks(df, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    """Passages edited to a similarity from 0.8 to 0.85: the share that the blocks at this radius let escape is small."""
+    r = random.Random(11)
+    items = [(k, words(r, 60)) for k in range(150)]
+    rows = []
+    for k, x in items:
+        w = x.split()
+        for at in r.sample(range(len(w)), 1) + [0]:
+            w[at] = "changed"
+        rows.append((k, f"{words(r, 40)} {' '.join(w)} {words(r, 40)}"))
+    want = {k: v for k, v in brute_leaks_of_pairs(rows, items).items() if v < 0.87}
+    got = {x.doc_id for x in decontam.find_leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 100 and len(set(want) & got) >= 0.99 * len(want), (len(want), len(set(want) & got))
+
+
+def brute_leaks_of_pairs(rows, items):
+    return {d: v for (d, t), item in zip(rows, items) for (_, _), v in brute_leaks([(d, t)], [item]).items()}
+
+
+def test_multisets(spark):
+    rows = [([1, 1, 2, 1, 5],), ([],), ([7],), ([3] * 3000,)]
+    df = spark.createDataFrame(rows, "h array<long>").select("h", decontam._multiset(F.col("h")).alias("m"))
+    for x in df.collect():
+        assert len(x.m) == len(set(x.m)) == len(x.h)
+    both = spark.createDataFrame([([1, 1, 2, 9], [1, 1, 1, 9, 9])], "a array<long>, b array<long>").select(F.size(F.array_intersect(decontam._multiset(F.col("a")), decontam._multiset(F.col("b")))).alias("n"))
+    assert both.first().n == 3
+
+
+def test_fingerprints_of_windows(spark):
+    r = random.Random(12)
+    rows = [([r.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 40, 126, 127, 128, 129, 256, 3000)] + [([-1] * 127,), ([-1] * 128,), ([-1] * 300,), ([],)]
+    df = spark.createDataFrame(rows, "h array<long>").select("h", decontam.simhash(F.col("h")).alias("f"))
+    for x in df.collect():
+        assert x.f % (1 << 64) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in x.h) * 2 > len(x.h))
