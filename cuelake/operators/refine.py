@@ -104,7 +104,6 @@ class Config:
     window: int = 10
     max_idle: int = 3
     checkpoint_every: int = 5
-    max_rounds: int = 100_000
 
 
 @dataclass
@@ -126,7 +125,7 @@ def refine(state: DataFrame, ask: Callable[[DataFrame, bool], DataFrame], save:
     config, stats = config or Config(), Stats()
     state = save(state, 0)
     done, total = state.agg(F.count_if(F.col("state") == "finished"), F.count("*")).first()
-    while done < total and stats.rounds < config.max_rounds:
+    while done < total:
         stats.rounds += 1
         w = windows(state, config.window).select(F.col("track").alias("_t"), "win_start", "win_end", "first_unfinished")
         entries = state.join(w, F.col("track") == F.col("_t")).where("pos between win_start and win_end").drop("_t")

@@ -218,11 +218,20 @@ def json_prop(spark, d):
 
 @_register(f"""
 with recursive {MERGED},
-n as (select *, row_number() over (partition by track order by start_ms, cue_id) as number from merged)
-select track, number, number || chr(10) || {timecode_sql('start_ms')} || ' --> ' || {timecode_sql('end_ms')} || chr(10) || text || chr(10) as entry from n where length(text) <= 80
+n as (select *, row_number() over (partition by track order by start_ms, cue_id) as number from merged),
+words as (select track, number, string_split(text, ' ') as w from n where length(text) > 80),
+fill as (
+  select track, number, w, 1 as i, w[1] as now, 1 as row_no from words
+  union all
+  select track, number, w, i + 1, case when length(now) + 1 + length(w[i + 1]) <= 80 then now || ' ' || w[i + 1] else w[i + 1] end,
+    case when length(now) + 1 + length(w[i + 1]) <= 80 then row_no else row_no + 1 end
+  from fill where i < len(w)),
+rows_ as (select track, number, row_no, arg_max(now, i) as line from fill group by track, number, row_no),
+wrapped as (select track, number, string_agg(line, chr(10) order by row_no) as lines from rows_ group by track, number)
+select n.track, n.number, n.number || chr(10) || {timecode_sql('start_ms')} || ' --> ' || {timecode_sql('end_ms')} || chr(10) || coalesce(lines, text) || chr(10) as entry
+from n left join wrapped on wrapped.track = n.track and wrapped.number = n.number
 """)
 def srt_entries(spark, d):
-    """All entries. The SQL has those whose text needs no wrapping; a test holds the rest against textwrap."""
     return srt.srt_entries(views.cues(spark, d))
 
 
@@ -259,11 +268,18 @@ def srt_parse_lenient(spark, d):
     return srt.parse_srt(files, "lenient").select("track", "cue_index", "start_ms", "end_ms", "text")
 
 
-@_register("select cast(page_id as varchar) as track, 1 as cue_index, 1000 as start_ms, 2500 as end_ms, 'one' as text from pages where page_id % 3 = 0")
+_REST = "'one' || n || n || '2x' || n || 'at 0:00:03,5 --> 0:00:04,000 X1:0' || n || 'two' || n || 'zwei' || n || '  ' || n || 'bad' || n || n || 'y' || n || '0:0:1,0 --> 0:0:2,0' || n || 'z'"
+
+
+@_register(f"""
+with f as (select page_id, case page_id % 3 when 0 then chr(10) when 1 then chr(13) || chr(10) else chr(13) end as n from pages)
+select cast(page_id as varchar) as track, 1 as cue_index, 1000 as start_ms, 2500 as end_ms, case page_id % 3 when 0 then 'one' else {_REST} end as text from f where page_id % 3 <> 2
+""")
 def srt_parse_strict(spark, d):
+    """Of files with \\r\\n, no blank line parts the entries: all that follows is the first one's text. A file with \\r is one line, and no entry."""
     n = F.expr("case page_id % 3 when 0 then '\\n' when 1 then '\\r\\n' else '\\r' end").alias("n")
     files = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("track"), n).select("track", F.expr(_MESSY).alias("content"))
-    return srt.parse_srt(files).select("track", "cue_index", "start_ms", "end_ms", "text").where("track % 3 = 0")
+    return srt.parse_srt(files).select("track", "cue_index", "start_ms", "end_ms", "text")
 
 
 @_register("""
@@ -341,12 +357,12 @@ def chunk_segments(spark, d):
 
 @_register(f"""
 with {MEDIA}, t as (select media_id, max(end_ms) as total_ms from media group by media_id),
-c as (select media_id, total_ms, unnest(range(0, cast(ceil(total_ms / 3000000.0) as bigint))) as chunk_no from t)
-select media_id, chunk_no, chunk_no * 3000000 as start_ms, least((chunk_no + 1) * 3000000, total_ms) as end_ms from c
+c as (select media_id, total_ms, unnest(range(0, cast(ceil(total_ms / 30000.0) as bigint))) as chunk_no from t)
+select media_id, chunk_no, chunk_no * 30000 as start_ms, least((chunk_no + 1) * 30000, total_ms) as end_ms from c
 """)
 def chunk_bounds(spark, d):
     total = views.media(spark, d).groupBy("media_id").agg(F.max("end_ms").alias("total_ms"))
-    return timeline.chunk_bounds(total, 3_000_000)
+    return timeline.chunk_bounds(total)
 
 
 @_register(f"""
@@ -369,12 +385,12 @@ def sample_positions(spark, d):
 
 
 @_register(f"""
-with {CUES}, s as (select user_id, cue_id, start_ms // 1000 as first, end_ms // 1000 as last from cues where user_id % 10 = 0),
+with {CUES}, s as (select user_id, cue_id, start_ms // 1000 as first, end_ms // 1000 as last from cues),
 x as (select user_id, cue_id, unnest(range(first, last + 1)) as sample from s)
 select cast(user_id as varchar) as media_id, sample, max(cue_id) as value from x group by user_id, sample
 """)
 def overlay_lww(spark, d):
-    c = views.cues(spark, d).where("user_id % 10 = 0")
+    c = views.cues(spark, d)
     return audio.overlay_samples(c.select(F.col("user_id").cast("string").alias("media_id"), F.col("cue_id").alias("ord"), F.floor(F.col("start_ms") / 1000).alias("first"), F.floor(F.col("end_ms") / 1000).alias("last"), F.col("cue_id").alias("value")))
 
 
@@ -395,16 +411,17 @@ def mix_down(spark, d):
     return frames.select("media_id", "frame_no", total.alias("total"), F.size(F.filter("pcm", lambda x: x != 0)).cast("bigint").alias("n_set"))
 
 
-@_register("select cast(label as varchar) as media_id, case when count(*) filter (vec_id % 50 = 49) = 0 then count(*) * 64 end as n_samples from embeddings group by label")
+@_register("select cast(label as varchar) as media_id, case when count(*) filter (vec_id % 50 = 49) = 0 then count(*) * 64 end as n_samples, case when count(*) filter (vec_id % 50 = 49) = 0 then md5(string_agg(array_to_string(list_transform(embedding, lambda x: cast(cast(floor(x::double * 1000) as bigint) as varchar)), ' '), ' ' order by vec_id)) end as pcm_md5 from embeddings group by label")
 def chunk_concat(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("media_id"), F.col("vec_id").alias("chunk_no"), F.expr("case when vec_id % 50 <> 49 then embedding end").alias("pcm"))
-    return audio.concat_chunks(e).select("media_id", F.when(F.col("pcm").isNotNull(), F.size("pcm")).cast("bigint").alias("n_samples"))
+    digest = F.md5(F.array_join(F.transform("pcm", lambda x: F.floor(x.cast("double") * 1000).cast("string")), " "))
+    return audio.concat_chunks(e).select("media_id", F.when(F.col("pcm").isNotNull(), F.size("pcm")).cast("bigint").alias("n_samples"), digest.alias("pcm_md5"))
 
 
-@_register(f"with {CUES} select track as media_id, max(end_ms) as total_ms, count(distinct 8000 * (1 + cue_id % 3)) as n_rates from cues group by track")
+@_register(f"with {CUES} select track as media_id, max(end_ms) as total_ms, count(distinct 8000 * (1 + cue_id % 3)) as n_rates, string_agg(distinct cast(8000 * (1 + cue_id % 3) as varchar), ' ' order by cast(8000 * (1 + cue_id % 3) as varchar)) as rates from cues group by track")
 def media_durations(spark, d):
     c = views.cues(spark, d).select(F.col("track").alias("media_id"), "end_ms", F.expr("cast(8000 * (1 + cue_id % 3) as int)").alias("sample_rate"))
-    return audio.durations(c).drop("rates")
+    return audio.durations(c).withColumn("rates", F.array_join(F.array_sort(F.transform("rates", lambda r: r.cast("string"))), " "))
 
 
 # --- refinement -----------------------------------------------------------------------------------------------------
@@ -424,36 +441,29 @@ applied as (select s.track, s.pos, case when p.pos is not null then 'finished' e
 """
 
 
-def _some_calls(spark, d):
-    return views.calls(spark, d).where("call_seq % 3 = 1")
-
-
-_SOME = _APPLIED.replace("from events)", "from events where event_id % 3 = 1)", 2).replace("from events where event_id % 3 = 1), (select", "from events), (select", 1)
-
-
 @_register(f"with {_APPLIED} select * from applied")
 def apply_calls(spark, d):
     return refine.apply_calls(views.state(spark, d), views.calls(spark, d)).select("track", "pos", "state", "text", "first_text", "second_text")
 
 
 @_register(f"""
-with {_SOME}
+with {_APPLIED}
 select track, count(*) as total, count(*) filter (state = 'finished') as finished, count(first_text) as refined, coalesce(min(pos) filter (state = 'unfinished'), -1) as first_unfinished, round(100.0 * count(first_text) / count(*), 1) as refined_percent
 from applied group by track
 """)
 def refine_progress(spark, d):
-    return refine.progress(refine.apply_calls(views.state(spark, d), _some_calls(spark, d)))
+    return refine.progress(refine.apply_calls(views.state(spark, d), views.calls(spark, d)))
 
 
 @_register(f"""
-with {_SOME},
+with {_APPLIED},
 p as (select track, count(*) as total, min(pos) filter (state = 'unfinished') as f from applied group by track),
 b as (select track, f, case when greatest(f - 5, 1) + 9 > total then greatest(total - 9, 1) else greatest(f - 5, 1) end as a, least(greatest(f - 5, 1) + 9, total) as z from p where f is not null)
 select b.track, a as win_start, z as win_end, f as first_unfinished, count(*) filter (pos < f and state = 'finished') as context_count, count(*) filter (state = 'unfinished') as unfinished_count
 from b join applied s on s.track = b.track and pos between a and z group by b.track, a, z, f
 """)
 def refine_windows(spark, d):
-    return refine.windows(refine.apply_calls(views.state(spark, d), _some_calls(spark, d)), 10)
+    return refine.windows(refine.apply_calls(views.state(spark, d), views.calls(spark, d)), 10)
 
 
 @_register(f"with {CUES}, n as (select track, row_number() over (partition by track order by start_ms, cue_id) as pos from cues) select track, pos, case when pos <= 10 then 1 else 2 + (pos - 11) // 5 end as round_no from n")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cues import number_cues
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,11 +78,11 @@ media as (
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a log of calls on one track per event_type, with user_id % 50 as position: some are invalid."""
+    """Events as a log of calls on one track per event_type, with user_id as position: some are invalid, some name no cue."""
     e = table(spark, sf_dir, "events")
     name = F.expr("case event_id % 4 when 0 then 'this_is_fine' when 3 then 'other' else 'this_should_be' end")
     return e.select(
-        F.col("event_type").alias("track"), F.col("event_id").alias("call_seq"), name.alias("name"), F.expr("user_id % 50").alias("pos"),
+        F.col("event_type").alias("track"), F.col("event_id").alias("call_seq"), name.alias("name"), F.col("user_id").alias("pos"),
         F.expr("'first ' || event_id").alias("first_text"), F.expr("case when event_id % 5 = 0 then '' else 'second ' || event_id end").alias("second_text"),
     )
 
@@ -88,15 +90,14 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALLS = """
 calls as (
   select event_type as track, event_id as call_seq, case event_id % 4 when 0 then 'this_is_fine' when 3 then 'other' else 'this_should_be' end as name,
-    user_id % 50 as pos, 'first ' || event_id as first_text, case when event_id % 5 = 0 then '' else 'second ' || event_id end as second_text
+    user_id as pos, 'first ' || event_id as first_text, case when event_id % 5 = 0 then '' else 'second ' || event_id end as second_text
   from events)
 """
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """track, pos 1 to 60, text, state (every seventh finished already), for each event_type."""
-    tracks = table(spark, sf_dir, "events").select(F.col("event_type").alias("track")).distinct()
-    rows = tracks.select("track", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(60).cast("bigint"))).alias("pos"))
+    """track, pos (1 to the number of cues), text of two lines, state (every seventh and the first three finished already): a row per cue."""
+    rows = number_cues(cues(spark, sf_dir), "pos")
     none = F.lit(None).cast("string")
     return rows.select("track", "pos", F.expr("track || '\\n' || pos").alias("text"), F.expr("case when pos % 7 = 0 or pos < 4 then 'finished' else 'unfinished' end").alias("state"), none.alias("first_text"), none.alias("second_text"))
 
@@ -104,5 +105,5 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATE = """
 state as (
   select track, pos, track || chr(10) || pos as text, case when pos % 7 = 0 or pos < 4 then 'finished' else 'unfinished' end as state
-  from (select distinct event_type as track from events), (select unnest(range(1, 61)) as pos))
+  from (select event_type as track, row_number() over (partition by event_type order by (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 100000, event_id) as pos from events))
 """
