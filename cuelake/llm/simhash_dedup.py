@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, pick, table, written
+from .common import partitions, pick, table, text_key, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -24,6 +24,14 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 MAX_BUCKET = 2048
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes; no hashes: zero."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash of the word shingles of a whole text, A-Z in lower case; no words: zero."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, lower() and split() know ASCII only
@@ -37,20 +45,17 @@ def fingerprint(text: str | None) -> int:
         starts = np.concatenate(([0], ends[:-1]))[: len(words) - SHINGLE + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())), "<u8", len(starts))
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return simhash(hashes)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a signed number."""
+    """doc_id, text_h, text_n, fp: the text's key, and the fingerprint's 64 bits as a signed number."""
 
     @F.pandas_udf(T.LongType())
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64))
 
-    return pick(docs, "doc_id", "text").select("doc_id", of("text").alias("fp"))
+    return pick(docs, "doc_id", "text").select("doc_id", *text_key(F.col("text")), of("text").alias("fp"))
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -170,7 +175,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKE
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id per row of docs: the smallest doc_id that can be reached over links.
+    """doc_id, fp, component_id, text_h, text_n per row of docs: the smallest doc_id that can be reached over links.
 
     Fingerprints link at `radius` or fewer differing bits. Null, empty and blank texts have fingerprint zero and
     link like others. Rows that repeat a doc_id are rows of their own. A null doc_id is the smallest of no
@@ -182,7 +187,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     classes = written(rooted.join(heads, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "text_h", "text_n")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -194,12 +199,15 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """As keep_one, by the component_id that classes has for every doc_id."""
-    keep = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("all"))
-    rows = rows.join(keep, F.col("all.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("all.*")
-    known = rows.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(rows.where("doc_id is null"))
+    """As keep_one, by classes (doc_id, component_id, text_h, text_n). Texts move once at most."""
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.struct("*").alias("all"))
+    # the join deals rows out by doc_id, so rows that repeat one already lie together
+    known = rows.where("row_id is not null").join(kept, F.col("row_id") == F.col("kept_id"), "left_semi").groupBy("row_id").agg(F.first("all").alias("all")).select("all.*")
+    # rows without doc_id are told apart by their texts
+    lone = classes.where("doc_id is null and component_id is null").select(F.col("text_h").alias("of_h"), F.col("text_n").alias("of_n")).distinct()
+    unknown = rows.where("row_id is null").select("all", *text_key(F.col("all.text"))).join(lone, (F.col("text_h") == F.col("of_h")) & (F.col("text_n") == F.col("of_n")), "left_semi")
+    return known.unionByName(unknown.select("all.*"))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
