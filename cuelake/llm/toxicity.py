@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, table, written
@@ -25,7 +25,9 @@ from .common import pick, table, written
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of doc_id.
 MAX_LABELLED = 8_000
 THRESHOLD = 0.7
-SHORTEST, LONGEST, MAX_ENTRIES = 4, 12, 3_000
+SHORTEST, LONGEST = 4, 12
+#: Least evidence (log-likelihood ratio) and weight (log odds) of an entry.
+LEAST, LEAST_WEIGHT = 20.0, 1.5
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -159,17 +161,25 @@ def _surprise(clean: int, toxic: int, n_clean: int, n_toxic: int) -> float:
     return out
 
 
-def _choose(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int, least: float = 20.0) -> dict[str, float]:
+def _evidence(n_clean: int, n_toxic: int) -> tuple[Column, Column]:
+    """_surprise and _log_odds as columns, so that only entries with enough of both come to the driver."""
+    n = n_clean + n_toxic
+    part = lambda got, share: F.when(F.col(got) > 0, 2 * F.col(got) * F.log(F.col(got) / ((F.col("clean") + F.col("toxic")) * share))).otherwise(0.0)
+    odds = F.log((F.col("toxic") + 0.25) / (n_toxic + 0.5)) - F.log((F.col("clean") + 0.25) / (n_clean + 0.5))
+    return part("clean", n_clean / n) + part("toxic", n_toxic / n), odds
+
+
+def _choose(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> dict[str, float]:
     """Entries by falling evidence; what an entry already says, its own beginnings and continuations don't repeat."""
     scored = [(round(_surprise(c, t, n_clean, n_toxic), 6), len(e), e, c, t) for e, c, t in rows if t / n_toxic > c / n_clean]
     chosen: dict[str, float] = {}
+    beginnings: set[str] = set()
     for g, _, e, c, t in sorted(scored, key=lambda x: (-x[0], -x[1], x[2])):
         w = _log_odds(c, t, n_clean, n_toxic)
-        if g < least or w < 1.5:
-            continue
-        if any(e.startswith(x) or x.startswith(e) for x in chosen):
+        if g < LEAST or w < LEAST_WEIGHT or e in beginnings or any(e[:n] in chosen for n in range(1, len(e))):
             continue
         chosen[e] = w
+        beginnings.update(e[:n] for n in range(1, len(e) + 1))
     return chosen
 
 
@@ -213,14 +223,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if not n_clean or not n_toxic:
         return Lexicon((), ())
     counts = lambda f: rows.select("text", "label").mapInPandas(f, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rate = F.col("toxic") / n_toxic - 3 * F.col("clean") / n_clean
-    common = counts(_prefix_counts).where((F.col("toxic") >= 3) & (rate > 0)).orderBy(rate.desc(), F.length("entry").desc(), "entry").limit(MAX_ENTRIES)
-    entries = _choose([(r["entry"], r["clean"], r["toxic"]) for r in common.collect()], n_clean, n_toxic)
+    # what comes to the driver has evidence in the labelled sample, so its number is bounded by that of the sample's words
+    evidence, odds = _evidence(n_clean, n_toxic)
+    telling = counts(_prefix_counts).where((F.col("toxic") >= 3) & (evidence >= LEAST - 1e-3) & (odds >= LEAST_WEIGHT - 1e-3))
+    entries = _choose([(r["entry"], r["clean"], r["toxic"]) for r in telling.collect()], n_clean, n_toxic)
     patterns = {f" {e}": w for e, w in entries.items()}
     if not patterns:
         return Lexicon((), ())
     around = counts(_phrase_counts(tuple(patterns))).where("clean >= 3").where(F.col("clean") / n_clean > F.col("toxic") / n_toxic)
-    for r in around.orderBy(F.desc("clean"), "entry").limit(MAX_ENTRIES).collect():
+    for r in sorted(around.collect(), key=lambda r: (-r["clean"], r["entry"])):
         patterns[r["entry"].rstrip()] = 0.0
     keys, weights = tuple(patterns), tuple(patterns.values())
     seen = rows.mapInPandas(_match_counts(keys, weights), "doc_id long, label int, found double, n_words long").collect()
