@@ -2,7 +2,8 @@
 
 Part of subpackage llm. Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of documents, in which the stage's decisions have taken effect. A stage sees only what its
-predecessor kept.
+predecessor kept. Columns beyond those of documents are left out, whatever their names; a missing one is null. Empty tables
+pass through all stages.
 """
 
 from __future__ import annotations
@@ -21,13 +22,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a learned rule go. Rules are learned from labels of the documents given."""
+    """Documents that fail the base rules or a learned rule go. Rules are learned from labels of the documents given.
+
+    A null, empty or blank text goes; rows that repeat a doc_id, and rows without one, are judged one by one.
+    """
     docs = pick(docs, *COLUMNS)
     return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines common to many documents go, but for one document; n_chars is counted anew where lines went."""
+    """Lines common to many documents go, but for one document; n_chars is counted anew where lines went.
+
+    A null text stays null. A row without doc_id loses nothing and counts for no line; rows that repeat a doc_id are one
+    document. The largest doc_id keeps a common line, every time it holds it.
+    """
     out = line_dedup(pick(docs, *COLUMNS))
     hit = F.col("n_dropped") > 0
     return out.select(
@@ -37,17 +45,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked at similarity 0.8 or more (shingles of five words) the smallest doc_id stays."""
+    """Of each group of texts linked at similarity 0.8 or more (shingles of five words) the smallest doc_id stays.
+
+    Of rows that repeat it, one stays. Null and blank texts are alike. Rows without doc_id stay only where their group has
+    no doc_id at all.
+    """
     return keep_one_text(pick(docs, *COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their doc_id; null texts hold none, null items match nothing."""
     return decontaminate(pick(docs, *COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to equal weights; a row per copy, in shuffled order, with n_copies, copy, rate and mix_key."""
+    """Sources come to equal weights; a row per copy, in shuffled order, with n_copies, copy, rate and mix_key.
+
+    Rows that repeat a doc_id, or have none, share one draw. A null source is a source of its own.
+    """
     return mix_sources(pick(docs, *COLUMNS))
 
 
