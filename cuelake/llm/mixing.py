@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,11 @@ def _poisson_cdf(rate: float) -> list[float]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _cdfs(rates: pd.Series) -> pd.Series:
+    return rates.map(_poisson_cdf)
+
+
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0) -> DataFrame:
     """source, n_docs, chars, weight, rate: rate is the mean number of copies of each of the source's documents.
 
@@ -70,8 +76,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     if len(known) <= RATES_BROADCAST:
         small = F.broadcast(spark.createDataFrame([(r["source"], r["rate"], _poisson_cdf(r["rate"])) for r in known], schema))
     else:
-        cdf = F.udf(_poisson_cdf, T.ArrayType(T.DoubleType()))
-        small = rates.select(F.col("source").alias("of"), "rate", cdf("rate").alias("cdf"))
+        small = rates.select(F.col("source").alias("of"), "rate", _cdfs("rate").alias("cdf"))
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in own]).alias("doc"))
     rows = rows.join(small, F.col("doc.source").eqNullSafe(F.col("of")))
     ident = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null"))

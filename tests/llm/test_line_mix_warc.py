@@ -69,6 +69,15 @@ def test_mixing_draws_poisson_copies(spark):
     assert {r.source for r in one.collect()} == {"small"}
 
 
+def test_many_sources_give_the_same(spark, monkeypatch):
+    rows = [(i, "x" * (i % 90) if i else "long " * 100_000, "en", f"s{i % 40}" if i % 7 else None, 0) for i in range(600)]
+    df = spark.createDataFrame(rows, DOCS)
+    take = lambda: sorted((r.doc_id, r.copy, r.mix_key) for r in mixing.mix_sources(df).select("doc_id", "copy", "mix_key").collect())
+    want = take()
+    monkeypatch.setattr(mixing, "RATES_BROADCAST", 5)
+    assert take() == want and len(want) > 100
+
+
 def test_mixing_edges(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "abc", "en", None, 3), (2, "abc", "en", None, 3)]
     df = spark.createDataFrame(rows, DOCS).withColumn("copy", F.lit("mine")).withColumn("of", F.lit("x"))
