@@ -54,10 +54,14 @@ def mix_down(audio: DataFrame, media: DataFrame, frame: int = FRAME) -> DataFram
     at = F.floor(F.col("start_ms") * F.col("sample_rate") / 1000).cast("bigint")
     placed = audio.join(total, "media_id").select("media_id", "ord", at.alias("at"), "pcm", "total").where(F.col("at") < F.col("total")).where(F.col("at") + F.size("pcm") > 0).where(F.size("pcm") > 0)
     first, last = F.floor(F.greatest("at", F.lit(0)) / frame), F.floor((F.least(F.col("at") + F.size("pcm"), F.col("total")) - 1) / frame)
-    cut = placed.select("media_id", "ord", "at", "pcm", F.explode(F.sequence(first, last)).alias("frame_no"))
-    low = F.greatest(F.col("frame_no") * frame - F.col("at"), F.lit(0)).cast("int")
-    high = F.least((F.col("frame_no") + 1) * frame - F.col("at"), F.size("pcm")).cast("int")
-    pieces = cut.select("media_id", "frame_no", "ord", (F.col("at") + low - F.col("frame_no") * frame).alias("offset"), F.slice("pcm", low + 1, high - low).alias("part"))
+
+    def piece(no):
+        """What of a segment lies in a frame, cut out before rows multiply."""
+        low = F.greatest(no * frame - F.col("at"), F.lit(0)).cast("int")
+        high = F.least((no + 1) * frame - F.col("at"), F.size("pcm")).cast("int")
+        return F.struct(no.alias("frame_no"), (F.col("at") + low - no * frame).alias("offset"), F.slice("pcm", low + 1, high - low).alias("part"))
+
+    pieces = placed.select("media_id", "ord", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("media_id", "p.frame_no", "ord", "p.offset", "p.part")
 
     def lay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
