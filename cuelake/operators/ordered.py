@@ -49,3 +49,13 @@ def with_next(df: DataFrame, keys: list[str], order: list[str], block: Column, c
     after = Window.partitionBy(*keys).orderBy("_block")
     firsts = firsts.select(*keys, "_block", F.lead("_first").over(after).alias("_then"))
     return _joined(df, firsts, keys).withColumn(out, F.when(F.col("_last"), F.col("_then")).otherwise(F.col("_ahead"))).drop("_ahead", "_last", "_then", "_block")
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], block: Column, column: str, out: str) -> DataFrame:
+    """The column's value in the row before by order, per key; null in the first."""
+    df, w = _blocks(df, keys, order, block)
+    df = df.withColumn("_behind", F.lag(column).over(w)).withColumn("_first", F.lag(F.lit(1)).over(w).isNull())
+    lasts = df.groupBy(*keys, "_block").agg(F.max_by(column, F.struct(*order)).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_block")
+    lasts = lasts.select(*keys, "_block", F.lag("_last").over(before).alias("_then"))
+    return _joined(df, lasts, keys).withColumn(out, F.when(F.col("_first"), F.col("_then")).otherwise(F.col("_behind"))).drop("_behind", "_first", "_then", "_block")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecode import touches_chunk_end
+from .ordered import running_sum, with_previous
 
 CHUNK_MS, EDGE_MS, GAP_MS = 30_000, 100, 500
+#: Segments of a medium are stitched in stretches of so much time, which bounds the rows of a task.
+STRETCH_MS = 6 * 3600 * 1000
 
 
 def chunk_bounds(media: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
@@ -52,8 +55,10 @@ def stitch(segments: DataFrame, chunk_ms: int = CHUNK_MS, edge_ms: int = EDGE_MS
     Speech longer than a chunk is joined over as many chunks as it has; chunks only move forward, so every input
     comes to an end. Segments of one medium are ordered by (start_ms, end_ms).
     """
-    w = Window.partitionBy("media_id").orderBy("start_ms", "end_ms")
     rows = segments.select("media_id", "chunk_no", "start_ms", "end_ms")
-    rows = rows.withColumn("_open", _opens(F.lag("end_ms").over(w), F.lag("chunk_no").over(w), chunk_ms, edge_ms, gap_ms))
-    rows = rows.withColumn("frag_id", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    stretch = F.floor(F.col("start_ms") / STRETCH_MS)
+    ends = F.struct(F.col("end_ms").alias("end_ms"), F.col("chunk_no").alias("chunk_no"))
+    rows = with_previous(rows.withColumn("_ends", ends), ["media_id"], ["start_ms", "end_ms"], stretch, "_ends", "_prev")
+    opens = _opens(F.col("_prev.end_ms"), F.col("_prev.chunk_no"), chunk_ms, edge_ms, gap_ms)
+    rows = running_sum(rows, ["media_id"], ["start_ms", "end_ms"], F.floor(F.col("start_ms") / STRETCH_MS), opens, "frag_id").withColumn("frag_id", F.col("frag_id") - 1)
     return rows.groupBy("media_id", "frag_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_parts"))

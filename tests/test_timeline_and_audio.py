@@ -30,6 +30,15 @@ def test_stitching_tolerances(spark):
     assert len(spans_of(out.where("media_id = 'n'"))) == 2
 
 
+def test_stitching_over_many_stretches(spark, monkeypatch):
+    spans = [(k * 7_000, k * 7_000 + 6_400) for k in range(200)] + [(2_000_000, 2_400_000)]
+    df = timeline.cut_at_chunks(spark.createDataFrame([("m", a, b) for a, b in spans], "media_id string, start_ms long, end_ms long"))
+    want = spans_of(timeline.stitch(df))
+    assert [(a, b) for a, b, _ in want] == spans
+    monkeypatch.setattr(timeline, "STRETCH_MS", 20_000)
+    assert spans_of(timeline.stitch(df)) == want
+
+
 def test_stream_gives_the_same_spans(spark, tmp_path):
     from cuelake.streaming.stitch import stitch_stream
 
