@@ -6,14 +6,16 @@ sorted, each with the bytes around it that its strings can reach:
 
 1. documents are dealt by a hash of doc_id into chunks of a bounded size, a bucketed table in the warehouse;
 2. anchors' hashes are dealt by range; those found in two chunks are marked, one bit each;
-3. the suffixes at marked anchors, alike ones merged within a chunk, are range-partitioned by their leading bytes
-   at sampled splitters. Each bucket sorts its suffixes by multikey quicksort on 8-byte symbols and compares
-   neighbours. A splitter is as long as an anchor, so suffixes that share an anchor never lie in two buckets, and
-   no comparison across a boundary is left to do;
-4. what a bucket finds, one bit per string, goes back to the chunks, which remove bytes.
+3. the suffixes at marked anchors, alike ones merged within a chunk, are range-partitioned by their leading bytes and
+   a hash of their chunk at splitters sampled from just these suffixes. A common anchor so covers several buckets;
+4. a bucket sorts its suffixes, and the bytes before them, by multikey quicksort on 8-byte symbols. Neighbours that
+   agree far enough to both sides hold the same string, and the least doc_id of such a run is its first holder;
+5. runs of an anchor at which a splitter lies may go on in other buckets: every bucket sends the first holder of each
+   such run, and these are compared across the boundaries, by the string itself;
+6. what is found, one bit per string, goes back to the chunks, which remove bytes.
 
 A chunk sends a suffix once however many of its documents hold it, so a passage in a third of all documents costs
-as many rows as there are chunks.
+as many rows as there are chunks, and these rows are spread over as many buckets as their number asks for.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, pick, shared_path, table, written
@@ -33,8 +35,14 @@ from .common import partitions, pick, shared_path, table, written
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a chunk (a longer document is a chunk of its own size), and positions that are handled at once.
 CHUNK_BYTES, BLOCK = 2 << 20, 1 << 18
-#: Splitters are sampled from this many chunks, and this many anchors of each.
-SAMPLE_CHUNKS, SAMPLE_ANCHORS = 16, 4096
+#: Buckets are as many as there are such shares of the text, up to a bound that keeps the splitters small.
+BUCKET_BYTES, MAX_BUCKETS = 8 << 20, 1 << 16
+#: Splitters are sampled from about a 32nd of the chunks, these numbers at least and at most, and so many suffixes in all.
+SAMPLE_CHUNKS, SAMPLE_ROWS = (16, 1024), 1 << 18
+#: Chunks in a file of the bucketed table, and the most files that such a table may have.
+FILE_CHUNKS, MAX_FILES = 64, 100_000
+#: What a bucket is told and tells: kind 0 marks of hashes, 1 bits of strings, 2 a run's first holder in a bucket.
+SIDE = "chunk long, kind int, bucket int, bits binary, place long, least long"
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -178,13 +186,13 @@ def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
     shared[order[1:][same]] = True
     shared[order[:-1][same]] = True
     bits = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum([len(p) for p in parts])[:-1])]
-    return pd.DataFrame({"chunk": pdf["chunk"], "kind": 0, "bucket": pdf["bucket"], "bits": bits})
+    return pd.DataFrame({"chunk": pdf["chunk"], "kind": 0, "bucket": pdf["bucket"], "bits": bits, "place": -1, "least": -1})
 
 
 class Suffixes:
     """The distinct suffixes that a chunk sends: bytes around the anchor, strings, least doc_id; and who holds them."""
 
-    def __init__(self, chunk: Chunk, marks: pd.DataFrame, n_buckets: int, splitters: np.ndarray):
+    def __init__(self, number: int, chunk: Chunk, marks: pd.DataFrame, n_buckets: int, splitters: np.ndarray):
         at, hashes, strings = chunk.anchors()
         u, of = np.unique(hashes >> np.uint64(16), return_inverse=True)
         marked = np.zeros(len(u), bool)
@@ -202,16 +210,15 @@ class Suffixes:
         words = np.zeros((len(rows), (rows.shape[1] + 4 + 7) // 8 * 8), np.uint8)
         words[:, : rows.shape[1]] = rows
         words[:, -4:] = self.strings.astype(">u4")[:, None].view(np.uint8).reshape(-1, 4)
-        order, group = multikey_order(words.view(">u8").astype(np.uint64))
+        order, group = _classes(words.view(">u8").astype(np.uint64))
         self.of = np.empty(len(order), np.int64)
         self.of[order] = group
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else group
         self.rows, self.row_strings = rows[order[first]], self.strings[order[first]]
         self.least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.of, chunk.ids[self.doc])
-        # leading bytes of the suffix itself decide the bucket
-        grams = np.ascontiguousarray(self.rows[:, chunk.spread : chunk.spread + GRAM]).view(f"S{GRAM}")[:, 0] if len(first) else np.empty(0, f"S{GRAM}")
-        bucket = np.searchsorted(splitters, grams, side="right")
+        self.keys = _keys(self.rows[:, chunk.spread : chunk.spread + GRAM], number)
+        bucket = np.searchsorted(splitters, self.keys, side="right")
         self.order = np.argsort(bucket, kind="stable")
         self.buckets, self.cuts = np.unique(bucket[self.order], return_index=True)
         self.cuts = [*self.cuts.tolist(), len(first)]
@@ -235,44 +242,86 @@ class Suffixes:
             yield b, self.order[x:y]
 
 
+def _keys(grams: np.ndarray, number: int) -> np.ndarray:
+    """What suffixes are ranged by: their leading bytes, then a hash of their chunk, so that many of one anchor part too."""
+    out = np.zeros((len(grams), GRAM + 8), np.uint8)
+    out[:, :GRAM] = grams
+    out[:, GRAM:] = _mixed(np.array([number * _FACTOR % (1 << 64)], np.uint64)).astype(">u8").view(np.uint8)
+    return out.view(f"S{GRAM + 8}")[:, 0]
+
+
+def _symbols(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 8-byte symbols whose order is that of the bytes."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return padded.view(">u8").astype(np.uint64)
+
+
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort: order of the rows, symbol by symbol (big-endian words), and the number of each row's class.
+    """Multikey quicksort: order of the rows, and the number of each sorted row's class of equal rows.
 
-    A round parts every class of rows that agree so far by their next symbol; classes of one row drop out.
+    Every round parts all open segments at once into rows below, at and above the segment's pivot symbol; only the
+    middle part goes on to the next symbol. Segments are closed when they hold one row or have no symbol left.
     """
-    n = len(words)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    for c in range(words.shape[1]):
-        edge = np.concatenate(([True], group[1:] != group[:-1])) if n else np.empty(0, bool)
-        alone = edge & np.concatenate((edge[1:], [True])) if n else edge
-        todo = np.flatnonzero(~alone)
-        if not len(todo):
-            break
-        symbol = words[order[todo], c]
-        by = np.lexsort((symbol, group[todo]))
-        order[todo] = order[todo][by]
-        differs = np.zeros(n, bool)
-        symbol, old = symbol[by], group[todo]
-        differs[todo[1:]] = (symbol[1:] != symbol[:-1]) & (old[1:] == old[:-1])
-        group = np.cumsum(edge | differs) - 1
-    return order, (np.cumsum(np.concatenate(([True], group[1:] != group[:-1]))) - 1 if n else group)
+    n, width = words.shape
+    order = np.arange(n)
+    starts, depth = np.zeros(min(n, 1), np.int64), np.zeros(min(n, 1), np.int64)  # of open segments
+    sizes = np.full(len(starts), n)
+    edge = np.zeros(n, bool)
+    edge[:1] = True
+    while True:
+        going = (sizes > 1) & (depth < width)
+        starts, sizes, depth = starts[going], sizes[going], depth[going]
+        if not len(starts):
+            return order, np.cumsum(edge) - 1
+        ends = np.cumsum(sizes)
+        heads = ends - sizes
+        seg = np.repeat(np.arange(len(starts)), sizes)
+        rows = np.arange(ends[-1]) + (starts - heads)[seg]
+        held = order[rows]
+        symbol = words[held, depth[seg]]
+        x, y, z = symbol[heads], symbol[heads + sizes // 2], symbol[ends - 1]
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[seg]
+        below, above = symbol < pivot, symbol > pivot
+        middle = ~(below | above)
+        to, begin, parts = np.empty(len(rows), np.int64), starts, []
+        for side in (below, middle, above):
+            count = np.concatenate(([0], np.cumsum(side)))
+            size = count[ends] - count[heads]
+            to[side] = (begin[seg] + count[:-1] - count[heads][seg])[side]
+            parts.append((begin, size, depth + (side is middle)))
+            begin = begin + size
+        order[to] = held
+        starts, sizes, depth = (np.concatenate(p) for p in zip(*parts))
+        edge[starts[sizes > 0]] = True
+
+
+def _agreement(rows: np.ndarray) -> np.ndarray:
+    """For sorted rows, how many leading bytes each has in common with the one before it (the first: -1)."""
+    differs = np.ones((max(len(rows) - 1, 0), rows.shape[1] + 1), bool)
+    differs[:, :-1] = rows[1:] != rows[:-1]
+    return np.concatenate((np.full(min(len(rows), 1), -1), differs.argmax(1)))
 
 
 def _suffix_rows(length: int, n_buckets: int, splitters: np.ndarray):
     def run(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame({"chunk": [], "bucket": [], "suffixes": []})
-        s = Suffixes(Chunk.of(docs, length), marks, n_buckets, splitters)
+        s = Suffixes(int(docs["chunk"].iloc[0]), Chunk.of(docs, length), marks, n_buckets, splitters)
         parts = [(b, zstandard.compress(s.least[i].astype("<i8").tobytes() + s.row_strings[i].astype("<u4").tobytes() + s.rows[i].tobytes(), 3)) for b, i in s.parts()]
         return pd.DataFrame({"chunk": [docs["chunk"].iloc[0]] * len(parts), "bucket": [p[0] for p in parts], "suffixes": [p[1] for p in parts]})
 
     return run
 
 
-def _compare(length: int):
-    """Of a bucket of suffixes, per chunk and suffix the strings that a smaller doc_id than its least holds as well."""
+def _compare(length: int, splitters: np.ndarray):
+    """Of a bucket of suffixes, per chunk and suffix the strings that a smaller doc_id than its least holds as well.
+
+    Strings at an anchor at which a splitter lies and that nothing in the bucket precedes are given out besides.
+    """
     spread = length - GRAM
     width = 2 * spread + GRAM
+    cut = np.unique(splitters.astype(f"S{GRAM}"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         least, strings, rows = [], [], []
@@ -282,31 +331,58 @@ def _compare(length: int):
             least.append(np.frombuffer(raw, "<i8", n))
             strings.append(np.frombuffer(raw, "<u4", n, 8 * n))
             rows.append(np.frombuffer(raw, np.uint8, n * width, 12 * n).reshape(n, width))
-        cuts = np.cumsum([len(x) for x in least])[:-1]
+        sizes = np.array([len(x) for x in least])
+        stops = np.cumsum(sizes)
         ids, mask, text = np.concatenate(least), np.concatenate(strings), np.concatenate(rows)
         found = np.zeros(len(ids), np.uint32)
-        grams = np.ascontiguousarray(text[:, spread : spread + GRAM]).view(">u8").astype(np.uint64)
-        order, group = multikey_order(grams)
-        crowd = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.empty(0, bool)
-        todo = order[crowd]
+        border = np.isin(np.ascontiguousarray(text[:, spread : spread + GRAM]).view(f"S{GRAM}")[:, 0], cut)
+
+        order, _ = multikey_order(_symbols(text[:, spread:]))
+        after = _agreement(text[order, spread:])
+        near = after >= GRAM
+        use = near | np.concatenate((near[1:], [False])) | border[order]
+        order, after = order[use], after[use]  # one that is left out agrees with no neighbour
+        back, _ = multikey_order(_symbols(text[order, :spread][:, ::-1]))
+        before = _agreement(text[order[back], :spread][:, ::-1])
+        # per kept suffix, in order of what follows its anchor
+        ids_, mask_, border_, left = ids[order], mask[order], border[order], np.empty(len(order), np.int64)
+        out = []
         for j in range(spread + 1):
-            own = todo[(mask[todo] >> np.uint32(j) & np.uint32(1)).astype(bool)]
-            if len(own) < 2:
+            own = np.flatnonzero(mask_ >> np.uint32(j) & np.uint32(1))
+            if not len(own):
                 continue
-            padded = np.zeros((len(own), (length + 7) // 8 * 8), np.uint8)
-            padded[:, :length] = text[own, spread - j : spread - j + length]
-            by, same = _classes(padded.view(">u8").astype(np.uint64))
-            own = own[by]
-            first = np.minimum.reduceat(ids[own], np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1]))))
-            found[own[first[same] < ids[own]]] |= np.uint32(1 << j)
-        bits = [x.astype("<u4").tobytes() for x in np.split(found, cuts)]
-        return pd.DataFrame({"chunk": pdf["chunk"], "kind": 1, "bucket": pdf["bucket"], "bits": bits})
+            right = np.cumsum(after < length - j)
+            left[back] = np.cumsum(before < j)
+            run_of = right[own] * (len(order) + 1) + left[own]  # alike before and after: the same string
+            by = np.argsort(run_of, kind="stable")
+            own, run_of = own[by], run_of[by]
+            new = np.concatenate(([True], run_of[1:] != run_of[:-1]))
+            first = np.minimum.reduceat(ids_[own], np.flatnonzero(new))[np.cumsum(new) - 1]
+            late = first < ids_[own]
+            found[order[own[late]]] |= np.uint32(1 << j)
+            at = order[own[~late & border_[own]]]
+            if len(at):
+                blob = np.searchsorted(stops, at, side="right")
+                place = (at - (stops - sizes)[blob]) * 32 + j
+                out.append(pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[blob], "bits": [x.tobytes() for x in text[at, spread - j : spread - j + length]], "place": place, "least": ids[at]}))
+        bits = [x.astype("<u4").tobytes() for x in np.split(found, stops[:-1])]
+        here = pd.DataFrame({"chunk": pdf["chunk"], "kind": 1, "bucket": pdf["bucket"], "bits": bits, "place": -1, "least": -1})
+        return pd.concat([here, *[x.assign(kind=2, bucket=pdf["bucket"].iloc[0]) for x in out]])[["chunk", "kind", "bucket", "bits", "place", "least"]]
 
     return run
 
 
+def _across(answers: DataFrame) -> DataFrame:
+    """First holders of a run in their bucket, at an anchor that several buckets share, whom a holder in another bucket precedes.
+
+    A string has at most a few such holders per bucket that its anchor covers.
+    """
+    first = F.min("least").over(Window.partitionBy("bits"))
+    return answers.where("kind = 2").withColumn("first", first).where("first < least").select("chunk", "kind", "bucket", F.lit(None).cast("binary").alias("bits"), "place", "least")
+
+
 def _classes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Like multikey_order, but in any order of classes: by a hash, if rows of one hash prove to be the same."""
+    """Order and classes of equal rows within a chunk, classes in any order: by a hash, if rows of one hash prove to be the same."""
     h = np.zeros(len(words), np.uint64)
     for c in range(words.shape[1]):
         h = _mixed(h * np.uint64(_FACTOR) + words[:, c])
@@ -323,11 +399,14 @@ def _remove(length: int, n_buckets: int, splitters: np.ndarray):
         if not len(docs):
             return pd.DataFrame({c: [] for c in columns})
         chunk = Chunk.of(docs, length)
-        s = Suffixes(chunk, side[side["kind"] == 0], n_buckets, splitters)
+        s = Suffixes(int(docs["chunk"].iloc[0]), chunk, side[side["kind"] == 0], n_buckets, splitters)
         earlier = np.zeros(len(s.rows), np.uint32)
         answers = dict(zip(side["bucket"][side["kind"] == 1].tolist(), side["bits"][side["kind"] == 1]))
+        elsewhere = {b: g.to_numpy() for b, g in side[side["kind"] == 2].groupby("bucket")["place"]}
         for b, i in s.parts():
             earlier[i] = np.frombuffer(answers[b], "<u4")
+            if b in elsewhere:
+                np.bitwise_or.at(earlier, i[elsewhere[b] >> 5], np.uint32(1) << (elsewhere[b] & 31).astype(np.uint32))
         hit = s.strings & np.where(chunk.ids[s.doc] > s.least[s.of], np.uint32(0xFFFFFFFF), earlier[s.of])
         begins = np.zeros(len(chunk.data) + length, np.int32)
         for j in range(chunk.spread + 1):
@@ -350,13 +429,14 @@ def _remove(length: int, n_buckets: int, splitters: np.ndarray):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row of docs what goes: doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_sizes (bytes).
 
     A byte goes if a string of `length` bytes over it also starts in a document of a smaller doc_id; strings are
     judged on the input. length is from 32 to 55. Texts are UTF-8 bytes, whole; a null text is empty. Rows that repeat a
     doc_id don't cause each other's removal. A row without doc_id causes none and loses nothing. Other columns
-    are left out. An empty table gives an empty result.
+    are left out. An empty table gives an empty result. bucket_bytes, the text that a bucket stands for, changes only
+    the number of buckets.
     """
     if not GRAM + 8 <= length <= GRAM + 31:
         raise ValueError(f"length must be from {GRAM + 8} to {GRAM + 31}")
@@ -365,8 +445,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
     known = d.where("doc_id is not null")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     n_chunks = max(1, -(-size // chunk_bytes))
-    n = min(partitions(spark), n_chunks) if n_chunks > 1 else 1
-    n_buckets = 2 * n
+    n = min(n_chunks, MAX_FILES, max(partitions(spark), n_chunks // FILE_CHUNKS))
+    n_buckets = min(MAX_BUCKETS, max(2 * min(partitions(spark), n_chunks), -(-size // bucket_bytes)))
 
     packed = known.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk"), "doc_id", "text").mapInPandas(_packing(32 << 20), "chunk long, docs binary")
     name = f"chunks_{uuid.uuid4().hex}"
@@ -374,13 +454,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
     packed.repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", shared_path(spark, name)).option("compression", "uncompressed").saveAsTable(name)
     chunks = spark.table(name)
 
-    splitters = _splitters(chunks, length, n_buckets)
     hashes = chunks.groupBy("chunk").applyInPandas(_hash_rows(length, n_buckets), "chunk long, bucket int, hashes binary")
-    side = "chunk long, kind int, bucket int, bits binary"
-    marks = written(hashes.repartition(n, "bucket").groupBy("bucket").applyInPandas(_mark, side), "marks")
+    marks = written(hashes.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_mark, SIDE), "marks")
+    splitters = _splitters(chunks, marks, length, n_buckets, n_chunks)
     suffixes = chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(_suffix_rows(length, n_buckets, splitters), "chunk long, bucket int, suffixes binary")
-    answers = suffixes.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_compare(length), side)
-    both = marks.unionByName(written(answers, "answers"))
+    answers = written(suffixes.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_compare(length, splitters), SIDE), "answers")
+    both = marks.unionByName(answers.where("kind = 1")).unionByName(_across(answers))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_sizes array<long>"
     out = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_remove(length, n_buckets, splitters), result)
     none = F.array().cast("array<bigint>")
@@ -389,20 +468,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
     return out.unionByName(rest)
 
 
-def _splitters(chunks: DataFrame, length: int, n_buckets: int) -> np.ndarray:
-    """n_buckets - 1 anchors that part a bounded sample of the anchors evenly."""
-
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk.of(pdf, length)
-        at, hashes, _ = chunk.anchors()
-        at = at[np.argsort(hashes, kind="stable")[:SAMPLE_ANCHORS]]
-        return pd.DataFrame({"gram": [chunk.data[a : a + GRAM].tobytes() for a in at.tolist()]})
+def _splitters(chunks: DataFrame, marks: DataFrame, length: int, n_buckets: int, n_chunks: int) -> np.ndarray:
+    """At most n_buckets - 1 keys that part a bounded sample of the suffixes to be sent evenly."""
+    low, high = SAMPLE_CHUNKS
+    of = min(n_chunks, high, max(low, n_chunks // 32))
 
-    got = chunks.where(F.col("chunk") < SAMPLE_CHUNKS).groupBy("chunk").applyInPandas(sample, "gram binary").collect()
-    grams = np.sort(np.array([bytes(r["gram"]) for r in got], f"S{GRAM}"))
-    if not len(grams):
-        return grams
-    return np.unique(grams[[len(grams) * i // n_buckets for i in range(1, n_buckets)]])
+    def sample(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs):
+            return pd.DataFrame({"key": []})
+        number = int(docs["chunk"].iloc[0])
+        keys = Suffixes(number, Chunk.of(docs, length), side, n_buckets, np.empty(0, f"S{GRAM + 8}")).keys
+        at = np.random.default_rng(number).permutation(len(keys))[: SAMPLE_ROWS // of]
+        return pd.DataFrame({"key": [keys[a : a + 1].tobytes() for a in at.tolist()]})
+
+    few = F.col("chunk") < of
+    got = chunks.where(few).groupBy("chunk").cogroup(marks.where(few).groupBy("chunk")).applyInPandas(sample, "key binary").collect()
+    keys = np.sort(np.array([bytes(r["key"]) for r in got], f"S{GRAM + 8}"))
+    if not len(keys):
+        return keys
+    return np.unique(keys[[len(keys) * i // n_buckets for i in range(1, n_buckets)]])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
