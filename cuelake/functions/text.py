@@ -76,3 +76,8 @@ def escape_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def base64_bytes(text: Column) -> Column:
+    """Bytes of a base64 text; null if it isn't one."""
+    return F.try_to_binary(text, F.lit("base64"))

@@ -51,7 +51,7 @@ class EnergyVad:
         out: list[dict[str, Any] | None] = []
         for r in requests:
             x, step = np.abs(np.asarray(r["pcm"], np.float32)), max(1, int(r["sample_rate"]) * self.step_ms // 1000)
-            loud = np.array([x[i : i + step].max() > self.threshold for i in range(0, len(x), step)], bool)
+            loud = np.maximum.reduceat(x, np.arange(0, len(x), step)) > self.threshold if len(x) else np.empty(0, bool)
             edge = np.flatnonzero(np.diff(np.concatenate(([0], loud.astype(np.int8), [0]))))
             spans = [[a * self.step_ms, b * self.step_ms] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
             joined: list[list[int]] = []

@@ -158,3 +158,9 @@ def load_checkpoint(spark: SparkSession, path: str, input_file: str) -> DataFram
     mine = rows.where((F.col("_version") == VERSION) & (F.col("_input") == input_file))
     last = mine.agg(F.max("round")).first()[0]
     return None if last is None else mine.where(F.col("round") == last).drop("round", "_version", "_input")
+
+
+def delete_checkpoint(spark: SparkSession, path: str) -> bool:
+    """Removes all rounds under path, as after a run that came to its end. Whether there was anything to remove."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import languages, text, timecode
-from ..operators import audio, cues, grid, match, refine, timeline
+from ..operators import audio, cues, grid, match, refine, segment, timeline, tools
+from ..operators.providers import EnergyVad
+from .. import schema
 from ..sources import documents, srt
 from . import views
 from .views import CALLS, CUES, MEDIA, MERGED, STATE, table, timecode_sql
@@ -255,6 +257,18 @@ def srt_parse_roundtrip(spark, d):
     return srt.parse_srt(srt.render_srt(_files(spark, d), merge=False)).select("track", "cue_index", "start_ms", "end_ms", "text")
 
 
+@_register(f"""
+with {CUES},
+t as (select *, start_ms - 5000000 as s, end_ms - 5000000 as e from cues),
+x as (select *, case when s < 0 then '-' else '' end || {timecode_sql('abs(s)')} || ' --> ' || case when e < 0 then '-' else '' end || {timecode_sql('abs(e)')} as times from t)
+select cast(user_id as varchar) as track, string_agg(cue_id || chr(10) || times || chr(10) || text || chr(10), chr(10) order by cue_id) as content from x group by user_id
+""")
+def srt_as_parsed(spark, d):
+    """Indices, order and texts as they are; times before zero keep their sign."""
+    c = views.cues(spark, d)
+    return srt.render_as_parsed(c.select(F.col("user_id").cast("string").alias("track"), F.col("cue_id").alias("ord"), F.col("cue_id").alias("cue_index"), (F.col("start_ms") - 5000000).alias("start_ms"), (F.col("end_ms") - 5000000).alias("end_ms"), "text"))
+
+
 _MESSY = "'1' || n || '0:00:01,000 --> 0:00:02,500' || n || 'one' || n || n || '2x' || n || 'at 0:00:03,5 --> 0:00:04,000 X1:0' || n || 'two' || n || 'zwei' || n || '  ' || n || 'bad' || n || n || 'y' || n || '0:0:1,0 --> 0:0:2,0' || n || 'z'"
 
 
@@ -337,6 +351,30 @@ def fragments_with_file(spark, d):
     return match.existing(f, f.where("frag_id % 3 = 0").select("file")).select("frag_id", "file")
 
 
+@_register(f"""
+with {CUES} select cue_id, case cue_id % 4 when 1 then track else 't' || cue_id end as target_text, case cue_id % 4 when 1 then track else track end as source_text from cues where cue_id % 4 in (0, 1)
+""")
+def usable_cues(spark, d):
+    """Two lines, one line, no text, and a second line of white space behind a mark."""
+    c = views.cues(spark, d).withColumn("text", F.expr("case cue_id % 4 when 0 then concat('t', cue_id, '\\n', track) when 1 then track when 2 then '' else concat('t', cue_id, '\\n \\n', track) end"))
+    return match.usable_cues(c).select("cue_id", "target_text", "source_text")
+
+
+@_register(f"""
+with {CUES}, f as (select user_id, cue_id, start_ms, end_ms, 'f' || cue_id || '.wav' as file from cues)
+select cast(user_id as varchar) as media_id, cue_id as frag_id, file, start_ms, end_ms, count(*) over (partition by user_id) as fragment_count from f
+where user_id not in (select user_id from f where cue_id % 97 = 3)
+""")
+def timeline_cache(spark, d):
+    """Media of which no file is missing, written as a timeline's JSON and read from it."""
+    f = views.cues(spark, d).select(F.col("user_id").cast("string").alias("media_id"), F.col("cue_id").alias("frag_id"), F.format_string("f%d.wav", "cue_id").alias("file"), "start_ms", "end_ms")
+    whole = documents.complete_timeline(f, f.where("frag_id % 97 <> 3").select("file"))
+    media = whole.groupBy("media_id").agg(F.max("end_ms").alias("total_ms")).select("media_id", F.lit("in.wav").alias("input_file"), "total_ms", F.lit(16000).alias("sample_rate"), F.lit("out").alias("output_dir"))
+    t = documents.timeline_json(whole, media).select("media_id", F.from_json("json", schema.TIMELINE).alias("t"))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    return t.select("media_id", F.col("t.metadata.fragment_count").cast("bigint").alias("fragment_count"), F.explode("t.timeline").alias("f")).select("media_id", F.col("f.id").alias("frag_id"), "f.file", ms("f.start").alias("start_ms"), ms("f.end").alias("end_ms"), "fragment_count")
+
+
 # --- timelines ------------------------------------------------------------------------------------------------------
 
 
@@ -424,6 +462,36 @@ def media_durations(spark, d):
     return audio.durations(c).withColumn("rates", F.array_join(F.array_sort(F.transform("rates", lambda r: r.cast("string"))), " "))
 
 
+@_register("""
+with c as (select vec_id % 8 as m, vec_id // 8 as n, embedding as e from embeddings),
+f as (select a.m, a.n, list_concat(a.e[18:64], coalesce(b.e[1:53], [])) as pcm from c a left join c b on b.m = a.m and b.n = a.n + 1 where a.n % 3 = 0)
+select cast(m as varchar) as media_id, n // 3 as frag_id, printf('%d_%06d_%010d_%010d.wav', m, n // 3, n * 64 + 17, n * 64 + 117) as file, len(pcm) as n_samples,
+  md5(array_to_string(list_transform(pcm, lambda x: cast(cast(floor(x::double * 1000) as bigint) as varchar)), ' ')) as pcm_md5 from f
+""")
+def fragment_cut(spark, d):
+    """Each vector is a piece of audio at 1 kHz; fragments of 100 ms are cut over the pieces' borders, from chunks of another size."""
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 8).cast("string").alias("media_id"), F.floor(F.col("vec_id") / 8).alias("n"), "embedding")
+    pieces = e.select("media_id", (F.col("n") * 64).alias("first_sample"), F.lit(1000).alias("sample_rate"), F.col("embedding").alias("pcm"))
+    start = F.col("n") * 64 + 17
+    spans = e.where("n % 3 = 0").select("media_id", F.floor(F.col("n") / 3).alias("frag_id"), start.alias("start_ms"), (start + 100).alias("end_ms"))
+    digest = F.md5(F.array_join(F.transform("pcm", lambda x: F.floor(x.cast("double") * 1000).cast("string")), " "))
+    return segment.cut_fragments(pieces, spans, chunk_ms=150).select("media_id", "frag_id", "file", F.size("pcm").cast("bigint").alias("n_samples"), digest.alias("pcm_md5"))
+
+
+@_register("""
+with c as (select vec_id % 8 as m, vec_id // 8 as n, vec_id % 7 * 70 as a, 640 - vec_id % 5 * 30 as b from embeddings where vec_id % 11 <> 0),
+seg as (select m, n, n * 640 + a as s, n * 640 + b as e from c where b - a >= 250),
+o as (select *, case when lag(n) over w + 1 = n and abs(lag(e) over w - n * 640) < 100 and s - n * 640 < 500 then 0 else 1 end as opens from seg window w as (partition by m order by s, e)),
+g as (select *, sum(opens) over (partition by m order by s, e rows unbounded preceding) - 1 as frag_id from o)
+select cast(m as varchar) as media_id, frag_id, min(s) as start_ms, max(e) as end_ms, count(*) as n_parts from g group by m, frag_id
+""")
+def segment_audio(spark, d):
+    """A burst of sound per vector, some too short and some none, at 100 Hz: chunks, detector and stitching in one go."""
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 8).cast("string").alias("media_id"), F.floor(F.col("vec_id") / 8).alias("n"), "vec_id")
+    loud = F.expr("transform(sequence(0, 63), i -> cast(if(vec_id % 11 <> 0 and i >= vec_id % 7 * 7 and i < 64 - vec_id % 5 * 3, 1, 0) as float))")
+    return segment.segment_audio(e.select("media_id", (F.col("n") * 64).alias("first_sample"), F.lit(100).alias("sample_rate"), loud.alias("pcm")), EnergyVad(), chunk_ms=640)
+
+
 # --- refinement -----------------------------------------------------------------------------------------------------
 
 
@@ -490,6 +558,18 @@ def window_display(spark, d):
     return refine.window_display(s.join(first, "track").withColumn("is_center", F.col("pos") == F.col("first_unfinished")))
 
 
+@_register(f"""
+with {CALLS} select track, call_seq, name, pos, case when name = 'this_should_be' then first_text end as first_text, case when name = 'this_should_be' then second_text end as second_text from calls
+""")
+def tool_calls(spark, d):
+    """Calls written as a model's answer, one answer of one call per event, and read again."""
+    c = views.calls(spark, d)
+    change = F.col("name") == "this_should_be"
+    given = F.struct(F.col("pos").alias(tools.ID), F.when(change, F.col("first_text")).alias(tools.FIRST), F.when(change, F.col("second_text")).alias(tools.SECOND))
+    answers = c.select("track", F.col("call_seq").alias("round"), F.to_json(F.array(F.struct("name", given.alias("arguments")))).alias("answer"))
+    return tools.calls_of(answers).withColumn("call_seq", F.floor(F.col("call_seq") / (1 << 32)))
+
+
 @_register("select r_regionkey, r_name, unnest(range(3, 8)) as speaker_id from region")
 def speaker_grid(spark, d):
     return grid.speaker_grid(table(spark, d, "region").select("r_regionkey", "r_name"), 3, 7)

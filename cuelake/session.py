@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from dataclasses import dataclass, field, fields
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +20,25 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     """A session with SETTINGS; keyword settings use __ for a dot (spark__ui__enabled="false")."""
     b = SparkSession.builder.appName("cuelake").config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
     return (b.master(master) if master else b).getOrCreate()
+
+
+@dataclass
+class Config:
+    """Settings of a run; an environment variable CUELAKE_<NAME> sets what the caller leaves out."""
+
+    service_url: str = field(default="http://localhost:8000")
+    window: int = field(default=10)
+    retries: int = field(default=3)
+    checkpoint_every: int = field(default=5)
+
+    @classmethod
+    def of(cls, **given: str | int) -> Config:
+        env = {f.name: type(f.default)(os.environ[name]) for f in fields(cls) if (name := f"CUELAKE_{f.name.upper()}") in os.environ}
+        return cls(**env | given)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether path, on any file system that Spark reads, is there and a file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(files.exists(where) and files.getFileStatus(where).isFile())
