@@ -28,12 +28,17 @@ def merge_short(cues: DataFrame, min_ms: int = MIN_MS, max_ms: int = MAX_MS, by_
     In order of (start_ms, cue_id), a short cue opens a group, and further short ones join it while the group
     stays within max_ms; a cue that isn't short ends it and is never merged. Texts join by a space, or line by
     line if by_line and all have as many lines. The group's end is its last cue's. Between two normal cues lies
-    an island of short ones, which folds on its own, so a long track spreads over many tasks.
+    an island of short ones, which folds on its own, so a long track spreads over many tasks. A short cue that ends
+    more than max_ms after the start of the cue before it opens a group whatever came earlier, so it opens an island
+    too: a track of nothing but short cues is parted at its pauses.
     """
     short = (F.col("end_ms") - F.col("start_ms")) < min_ms
-    rows = cues.select("track", "cue_id", "start_ms", "end_ms", "text").withColumn("_short", short)
-    rows = running_sum(rows, ["track"], ["start_ms", "cue_id"], _block(), F.when(short, 0).otherwise(1).cast("bigint"), "_island")
+    rows = cues.select("track", "cue_id", "start_ms", "end_ms", "text").withColumns({"_short": short, "_stretch": _block()})
     whole = rows.where(~F.col("_short")).select("track", "start_ms", "end_ms", "text", "cue_id", F.lit(1).cast("bigint").alias("n_merged"))
+    # within a stretch only: an island that isn't parted folds to the same groups
+    before = F.lag("start_ms").over(Window.partitionBy("track", "_stretch").orderBy("start_ms", "cue_id"))
+    rows = rows.withColumn("_open", F.when(short & ~F.coalesce(F.col("end_ms") - before > max_ms, F.lit(False)), 0).otherwise(1).cast("bigint"))
+    rows = running_sum(rows, ["track"], ["start_ms", "cue_id"], F.col("_stretch"), F.col("_open"), "_island")
     item = F.struct("start_ms", "cue_id", "end_ms", "text")
     islands = rows.where("_short").groupBy("track", "_island").agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(item)).alias("_cues"))
     small = islands.where(F.col("_n") <= HOF_ISLAND).select("track", "_island", F.posexplode(F.arrays_zip(F.col("_cues"), _groups(F.col("_cues"), max_ms).alias("g"))).alias("_i", "_z"))

@@ -45,6 +45,16 @@ def test_large_island_streams_like_a_small_one(spark):
     assert merged(spark, rows) == spec_merge(rows)
 
 
+def test_pauses_part_a_track_of_short_cues(spark, monkeypatch):
+    r = random.Random(9)
+    at, rows = 0, []
+    for k in range(3000):
+        at += r.choice((0, 50, 300, 6_700, 6_950, 7_000, 8_000))
+        rows.append((at, k, at + r.choice((0, 50, 499)), f"c{k}"))
+    monkeypatch.setattr(cues, "HOF_ISLAND", 40)
+    assert merged(spark, rows) == spec_merge(rows)
+
+
 def test_island_across_blocks(spark):
     rows = [(cues.BLOCK_MS - 300 + k * 100, k, cues.BLOCK_MS - 250 + k * 100, str(k)) for k in range(8)]
     assert merged(spark, rows) == spec_merge(rows)
