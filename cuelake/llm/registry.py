@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.ORACLE_SQL,
+        "op2_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op5_decontaminate": decontam.ORACLE_SQL,
         "op6_line_dedup": line_dedup.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,

@@ -489,5 +489,21 @@ def _splitters(chunks: DataFrame, marks: DataFrame, length: int, n_buckets: int,
     return np.unique(keys[[len(keys) * i // n_buckets for i in range(1, n_buckets)]])
 
 
+#: Strings as hexadecimal digits; texts are taken in blocks first, as a long one would be walked from its start for every string.
+ORACLE_SQL = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select doc_id, h, length(h) // 2 as n from d),
+blocks as (select doc_id, n, base, substr(h, 2 * base + 1, 2098) as b from (select *, unnest(range(0, n, 1000)) as base from n)),
+strings as (select doc_id, base + i as pos, substr(b, 2 * i + 1, 100) as s from (select *, unnest(range(0, 1000)) as i from blocks) where base + i + 50 <= n),
+hits as (select doc_id, pos from (select doc_id, pos, min(doc_id) over (partition by s) as first from strings) where first < doc_id),
+opens as (select *, case when pos <= lag(pos) over (partition by doc_id order by pos) + 50 then 0 else 1 end as opens from hits),
+runs as (select doc_id, min(pos) as a, max(pos) + 50 as z from (select *, sum(opens) over (partition by doc_id order by pos) as run from opens) group by doc_id, run),
+parts as (select doc_id, coalesce(lag(z) over w, 0) as kept_from, a as kept_to, z - a as gone from runs window w as (partition by doc_id order by a)
+  union all select n.doc_id, coalesce(max(z), 0), n.n, 0 from n left join runs on runs.doc_id = n.doc_id group by n.doc_id, n.n)
+select doc_id, any_value(n) as n_bytes, cast(sum(gone) as bigint) as n_removed, count(*) - 1 as n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * kept_from + 1, 2 * (kept_to - kept_from)), '' order by kept_from, kept_to))) as kept_sha256
+from parts join n using (doc_id) group by doc_id
+"""
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

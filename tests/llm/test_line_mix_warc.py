@@ -18,7 +18,7 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op6_line_dedup", "op7_mix_sources"])
+@pytest.mark.parametrize("name", ["op1_warc", "op2_suffix_dedup", "op6_line_dedup", "op7_mix_sources"])
 def test_query_equals_sql(spark, sf_dir, name):
     assert_same(registry.queries()[name](spark, sf_dir), registry.oracle_sql()[name], views(sf_dir))
 
