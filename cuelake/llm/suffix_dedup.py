@@ -35,8 +35,9 @@ from .common import partitions, pick, shared_path, table, written
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a chunk (a longer document is a chunk of its own size), and positions that are handled at once.
 CHUNK_BYTES, BLOCK = 2 << 20, 1 << 18
-#: Buckets are as many as there are such shares of the text, up to a bound that keeps the splitters small.
-BUCKET_BYTES, MAX_BUCKETS = 8 << 20, 1 << 16
+#: Buckets are as many as there are such shares of the text. Ranges, whose splitters all tasks get, have a bound; beyond
+#: it a range is several buckets, by the anchor's hash, and a task has several buckets, one after another.
+BUCKET_BYTES, MAX_RANGES = 8 << 20, 1 << 16
 #: Splitters are sampled from about a 32nd of the chunks, these numbers at least and at most, and so many suffixes in all.
 SAMPLE_CHUNKS, SAMPLE_ROWS = (16, 1024), 1 << 18
 #: Chunks in a file of the bucketed table, and the most files that such a table may have.
@@ -160,16 +161,21 @@ def _hash_rows(length: int, n_buckets: int):
     """Of a chunk, the upper 48 bits of its anchors' hashes, dealt into buckets by range."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = np.unique(Chunk.of(pdf, length).anchors()[1] >> np.uint64(16))
-        cuts = _hash_cuts(u, n_buckets)
-        parts = [(b, u[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+        u = np.unique(_dealt(Chunk.of(pdf, length).anchors()[1]))
+        buckets, cuts = np.unique(_hash_bucket(u, n_buckets), return_index=True)
+        parts = [(b, u[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for b, x, y in zip(buckets.tolist(), cuts, [*cuts[1:], len(u)])]
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]] * len(parts), "bucket": [p[0] for p in parts], "hashes": [p[1] for p in parts]})
 
     return run
 
 
-def _hash_cuts(u: np.ndarray, n: int) -> list[int]:
-    return np.searchsorted(u, np.array([(b << 48) // n for b in range(n)] + [1 << 48], np.uint64)).tolist()
+def _dealt(hashes: np.ndarray) -> np.ndarray:
+    """48 bits of anchors' hashes, mixed once more: anchors are least hashes, which would crowd the first ranges."""
+    return _mixed(hashes) >> np.uint64(16)
+
+
+def _hash_bucket(u: np.ndarray, n: int) -> np.ndarray:
+    return ((u >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,13 +198,13 @@ def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
 class Suffixes:
     """The distinct suffixes that a chunk sends: bytes around the anchor, strings, least doc_id; and who holds them."""
 
-    def __init__(self, number: int, chunk: Chunk, marks: pd.DataFrame, n_buckets: int, splitters: np.ndarray):
+    def __init__(self, number: int, chunk: Chunk, marks: pd.DataFrame, n_buckets: int, splitters: np.ndarray, per_range: int = 1):
         at, hashes, strings = chunk.anchors()
-        u, of = np.unique(hashes >> np.uint64(16), return_inverse=True)
+        u, of = np.unique(_dealt(hashes), return_inverse=True)
         marked = np.zeros(len(u), bool)
-        cuts = _hash_cuts(u, n_buckets)
-        for b, bits in zip(marks["bucket"], marks["bits"]):
-            marked[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[b + 1] - cuts[b]).astype(bool)
+        dealt, asked = _hash_bucket(u, n_buckets), marks["bucket"].to_numpy(np.int64)
+        for x, y, bits in zip(np.searchsorted(dealt, asked), np.searchsorted(dealt, asked, side="right"), marks["bits"]):
+            marked[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x).astype(bool)
         doc = np.searchsorted(chunk.ends, at, side="right")
         # also those that two documents of this chunk share
         low, high = np.full(len(u), len(chunk.ids)), np.full(len(u), -1)
@@ -219,6 +225,8 @@ class Suffixes:
         np.minimum.at(self.least, self.of, chunk.ids[self.doc])
         self.keys = _keys(self.rows[:, chunk.spread : chunk.spread + GRAM], number)
         bucket = np.searchsorted(splitters, self.keys, side="right")
+        if per_range > 1:
+            bucket = bucket * per_range + (hashes[use][order[first]] >> np.uint64(1)).astype(np.int64) % per_range
         self.order = np.argsort(bucket, kind="stable")
         self.buckets, self.cuts = np.unique(bucket[self.order], return_index=True)
         self.cuts = [*self.cuts.tolist(), len(first)]
@@ -303,11 +311,11 @@ def _agreement(rows: np.ndarray) -> np.ndarray:
     return np.concatenate((np.full(min(len(rows), 1), -1), differs.argmax(1)))
 
 
-def _suffix_rows(length: int, n_buckets: int, splitters: np.ndarray):
+def _suffix_rows(length: int, n_buckets: int, splitters: np.ndarray, per_range: int):
     def run(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame({"chunk": [], "bucket": [], "suffixes": []})
-        s = Suffixes(int(docs["chunk"].iloc[0]), Chunk.of(docs, length), marks, n_buckets, splitters)
+        s = Suffixes(int(docs["chunk"].iloc[0]), Chunk.of(docs, length), marks, n_buckets, splitters, per_range)
         parts = [(b, zstandard.compress(s.least[i].astype("<i8").tobytes() + s.row_strings[i].astype("<u4").tobytes() + s.rows[i].tobytes(), 3)) for b, i in s.parts()]
         return pd.DataFrame({"chunk": [docs["chunk"].iloc[0]] * len(parts), "bucket": [p[0] for p in parts], "suffixes": [p[1] for p in parts]})
 
@@ -393,13 +401,13 @@ def _classes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return multikey_order(words)
 
 
-def _remove(length: int, n_buckets: int, splitters: np.ndarray):
+def _remove(length: int, n_buckets: int, splitters: np.ndarray, per_range: int):
     def run(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_sizes"]
         if not len(docs):
             return pd.DataFrame({c: [] for c in columns})
         chunk = Chunk.of(docs, length)
-        s = Suffixes(int(docs["chunk"].iloc[0]), chunk, side[side["kind"] == 0], n_buckets, splitters)
+        s = Suffixes(int(docs["chunk"].iloc[0]), chunk, side[side["kind"] == 0], n_buckets, splitters, per_range)
         earlier = np.zeros(len(s.rows), np.uint32)
         answers = dict(zip(side["bucket"][side["kind"] == 1].tolist(), side["bits"][side["kind"] == 1]))
         elsewhere = {b: g.to_numpy() for b, g in side[side["kind"] == 2].groupby("bucket")["place"]}
@@ -429,14 +437,14 @@ def _remove(length: int, n_buckets: int, splitters: np.ndarray):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, max_ranges: int = MAX_RANGES) -> DataFrame:
     """Per row of docs what goes: doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_sizes (bytes).
 
     A byte goes if a string of `length` bytes over it also starts in a document of a smaller doc_id; strings are
     judged on the input. length is from 32 to 55. Texts are UTF-8 bytes, whole; a null text is empty. Rows that repeat a
     doc_id don't cause each other's removal. A row without doc_id causes none and loses nothing. Other columns
-    are left out. An empty table gives an empty result. bucket_bytes, the text that a bucket stands for, changes only
-    the number of buckets.
+    are left out. An empty table gives an empty result. bucket_bytes, the text that a bucket stands for, and max_ranges
+    change only how the work is dealt.
     """
     if not GRAM + 8 <= length <= GRAM + 31:
         raise ValueError(f"length must be from {GRAM + 8} to {GRAM + 31}")
@@ -446,7 +454,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
     size = known.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     n_chunks = max(1, -(-size // chunk_bytes))
     n = min(n_chunks, MAX_FILES, max(partitions(spark), n_chunks // FILE_CHUNKS))
-    n_buckets = min(MAX_BUCKETS, max(2 * min(partitions(spark), n_chunks), -(-size // bucket_bytes)))
+    n_buckets = max(2 * min(partitions(spark), n_chunks), -(-size // bucket_bytes))
+    per_range = -(-n_buckets // max_ranges)
+    n_tasks = min(n_buckets, MAX_RANGES)
 
     packed = known.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk"), "doc_id", "text").mapInPandas(_packing(32 << 20), "chunk long, docs binary")
     name = f"chunks_{uuid.uuid4().hex}"
@@ -455,21 +465,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
     chunks = spark.table(name)
 
     hashes = chunks.groupBy("chunk").applyInPandas(_hash_rows(length, n_buckets), "chunk long, bucket int, hashes binary")
-    marks = written(hashes.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_mark, SIDE), "marks")
-    splitters = _splitters(chunks, marks, length, n_buckets, n_chunks)
-    suffixes = chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(_suffix_rows(length, n_buckets, splitters), "chunk long, bucket int, suffixes binary")
-    answers = written(suffixes.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_compare(length, splitters), SIDE), "answers")
+    marks = written(hashes.repartition(n_tasks, "bucket").groupBy("bucket").applyInPandas(_mark, SIDE), "marks")
+    splitters = _splitters(chunks, marks, length, n_buckets, -(-n_buckets // per_range), n_chunks)
+    suffixes = chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(_suffix_rows(length, n_buckets, splitters, per_range), "chunk long, bucket int, suffixes binary")
+    answers = written(suffixes.repartition(n_tasks, "bucket").groupBy("bucket").applyInPandas(_compare(length, splitters), SIDE), "answers")
     both = marks.unionByName(answers.where("kind = 1")).unionByName(_across(answers))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_sizes array<long>"
-    out = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_remove(length, n_buckets, splitters), result)
+    out = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_remove(length, n_buckets, splitters, per_range), result)
     none = F.array().cast("array<bigint>")
     zero = F.lit(0).cast("long")
     rest = d.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"), none.alias("span_starts"), none.alias("span_sizes"))
     return out.unionByName(rest)
 
 
-def _splitters(chunks: DataFrame, marks: DataFrame, length: int, n_buckets: int, n_chunks: int) -> np.ndarray:
-    """At most n_buckets - 1 keys that part a bounded sample of the suffixes to be sent evenly."""
+def _splitters(chunks: DataFrame, marks: DataFrame, length: int, n_buckets: int, n_ranges: int, n_chunks: int) -> np.ndarray:
+    """At most n_ranges - 1 keys that part a bounded sample of the suffixes to be sent evenly."""
     low, high = SAMPLE_CHUNKS
     of = min(n_chunks, high, max(low, n_chunks // 32))
 
@@ -486,7 +496,7 @@ def _splitters(chunks: DataFrame, marks: DataFrame, length: int, n_buckets: int,
     keys = np.sort(np.array([bytes(r["key"]) for r in got], f"S{GRAM + 8}"))
     if not len(keys):
         return keys
-    return np.unique(keys[[len(keys) * i // n_buckets for i in range(1, n_buckets)]])
+    return np.unique(keys[[len(keys) * i // n_ranges for i in range(1, n_ranges)]])
 
 
 #: Strings as hexadecimal digits; texts are taken in blocks first, as a long one would be walked from its start for every string.

@@ -42,15 +42,15 @@ def brute_spans(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize(("chunk", "bucket"), [(1 << 11, 1 << 23), (1 << 10, 1 << 8), (1 << 20, 1 << 23), (1 << 20, 1 << 9)])
-def test_spans_against_brute_force(spark, chunk, bucket):
+@pytest.mark.parametrize(("chunk", "bucket", "ranges"), [(1 << 11, 1 << 23, 1 << 16), (1 << 10, 1 << 8, 1 << 16), (1 << 10, 1 << 9, 7), (1 << 20, 1 << 9, 1 << 16)])
+def test_spans_against_brute_force(spark, chunk, bucket, ranges):
     r = random.Random(chunk)
     common = [words(r, 30) for _ in range(4)]
     rows = [(i, " ".join(r.sample([words(r, r.randint(0, 60)), r.choice(common), r.choice(common)[: r.randint(20, 120)], "é" * r.randint(0, 40)], 4))) for i in range(40)]
     rows += [(50, rows[7][1]), (51, rows[7][1]), (52, "of of " * 60), (53, "of of " * 70 + "x"), (54, "\0" * 70), (55, "\0" * 60), (56, None), (57, ""), (58, "x" * 49), (59, "x" * 49), (60, "y" * 50), (61, "y" * 50)]
     rows += [(None, rows[7][1]), (7, rows[9][1]), (7, rows[7][1])]
     df = spark.createDataFrame(rows, DOCS).withColumn("chunk", F.lit("mine"))
-    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.repeated_spans(df, chunk_bytes=chunk, bucket_bytes=bucket).collect())
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.repeated_spans(df, chunk_bytes=chunk, bucket_bytes=bucket, max_ranges=ranges).collect())
     assert got == brute_spans(rows)
 
 
