@@ -9,13 +9,18 @@ from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's neighbours (large: those above it; else those up to it) to the least of its neighbourhood."""
+    """Links each node's neighbours (large: those above it; else those up to it) to the least of its neighbourhood.
+
+    A hub has its rows in one key. The join has a second key, which the least neighbours aren't dealt by, so both
+    sides are shuffled for it: only then can Spark split a partition that is too large.
+    """
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select(F.col("a").alias("of"), "m")
-    joined = both.join(least, F.col("a") == F.col("of"))
+    half = lambda c: F.pmod(F.xxhash64(c), F.lit(2))
+    joined = both.withColumn("half", half("a")).join(least.withColumn("of_half", half("of")), (F.col("a") == F.col("of")) & (F.col("half") == F.col("of_half")))
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

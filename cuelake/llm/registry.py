@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_extract, line_dedup, merkle, mixing, quality_rules, simhash_dedup, suffix_dedup, toxicity, warc, whitening
+from . import chat, decontam, embedding_dedup, html_extract, line_dedup, merkle, mixing, quality_rules, simhash_dedup, suffix_dedup, toxicity, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": line_dedup.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
         "op10_chat_format": chat.ORACLE_SQL,
+        "op11_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op12_merkle_manifest": merkle.ORACLE_SQL,
     }
