@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space at the ends of a text or line, as str.strip takes it off.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _EDGE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{_EDGE}", ""), f"{_EDGE}$", "")
+    """Trimming reads each end once; a pattern for the end would be tried anew at every place of a run of blanks."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def _wrapped(line: Column, width: int) -> Column:

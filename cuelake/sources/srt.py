@@ -10,6 +10,9 @@ from ..functions.timecode import format_timecode, parse_timecode
 from ..operators.cues import merge_short, number_cues
 
 
+ARROW = "-->"
+
+
 def parse_srt(files: DataFrame, dialect: str = "strict", mode: str = "drop") -> DataFrame:
     """files (track, content) as cues: track, ord (0-based place in the file), cue_index, start_ms, end_ms, text, lines.
 
@@ -29,11 +32,15 @@ def parse_srt(files: DataFrame, dialect: str = "strict", mode: str = "drop") ->
     head, times = F.get("all", F.lit(0)), F.get("all", F.lit(1))
     if dialect == "lenient":
         index = F.regexp_extract(head, r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint")
-        pattern, group = r"(\S+)\s*-->\s*(\S+)", (1, 2)
+        # a match can only begin where a word does
+        pattern = r"(?<!\S)(\S+)\s*-->\s*(\S+)"
+        codes = (F.regexp_extract(times, pattern, 1), F.regexp_extract(times, pattern, 2))
     else:
         index = F.when(strip(head).rlike(r"^[+-]?[0-9]+$"), strip(head).try_cast("bigint"))
-        pattern, group = r"^\s*(.+?)\s*-->\s*(.+)", (1, 2)
-    start, end = (parse_timecode(strip(F.regexp_extract(times, pattern, g)), dialect) for g in group)
+        at = F.instr(times, F.lit(ARROW))
+        before, after = strip(F.when(at > 1, F.substring(times, F.lit(1), at - 1))), strip(F.when(at > 1, F.substring(times, at + len(ARROW), F.length(times))))
+        codes = (F.regexp_extract(before, r"^(.+)\z", 1), F.regexp_extract(after, r"^(.+)", 1))
+    start, end = (parse_timecode(strip(c), dialect) for c in codes)
     rows = rows.select("track", F.col("ord").cast("bigint").alias("ord"), index.alias("cue_index"), start.alias("start_ms"), end.alias("end_ms"), "all", "entry")
     good = (F.size("all") >= 3) & F.col("cue_index").isNotNull() & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
     body = F.slice("all", 3, F.greatest(F.size("all") - 2, F.lit(0)))
