@@ -9,10 +9,11 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audio, cues, segment
+from .operators import cues, segment
 from .operators.providers import EnergyVad
+from .operators.resample import resample
 from .session import session
-from .sources import documents, srt, wav
+from .sources import documents, srt, wav_files
 
 log = logging.getLogger("cuelake")
 
@@ -33,15 +34,15 @@ def run_check(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def run_segment(spark: SparkSession, a: argparse.Namespace) -> None:
     """Cuts the speech out of all WAV files under a path: files in output/fragments, timelines in output/timelines."""
-    whole = wav.read_wav(spark, a.source).withColumns({"ord": F.lit(0).cast("bigint"), "start_ms": F.lit(0).cast("bigint")})
-    pieces = audio.conform(whole, a.sample_rate).select("media_id", F.lit(0).cast("bigint").alias("first_sample"), "sample_rate", "pcm")
+    pieces = resample(wav_files.mono(wav_files.read_pieces(spark, a.source)), a.sample_rate)
     vad = EnergyVad(a.threshold, a.min_speech_ms, a.min_silence_ms)
     spans = segment.segment_audio(pieces, vad, a.chunk_ms)
     files = f"{a.output}/fragments"
     listing = f"{a.output}/listing"
     segment.write_fragments(segment.cut_fragments(pieces, spans, a.chunk_ms), files).write.mode("overwrite").parquet(listing)
-    total = F.floor(F.size("pcm") * 1000 / F.col("sample_rate"))
-    media = pieces.select("media_id", F.col("media_id").alias("input_file"), total.alias("total_ms"), "sample_rate", F.lit(files).alias("output_dir"))
+    total = F.floor(F.max(F.col("first_sample") + F.size("pcm")) * 1000 / F.first("sample_rate"))
+    media = pieces.groupBy("media_id").agg(total.alias("total_ms"), F.first("sample_rate").alias("sample_rate"))
+    media = media.select("media_id", F.col("media_id").alias("input_file"), "total_ms", "sample_rate", F.lit(files).alias("output_dir"))
     timelines = documents.timeline_json(spark.read.parquet(listing), media, export=True)
     timelines.select(F.url_encode("media_id").alias("media"), F.col("json").alias("value")).write.mode("overwrite").partitionBy("media").text(f"{a.output}/timelines")
 

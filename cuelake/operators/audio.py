@@ -65,7 +65,7 @@ def mix_down(audio: DataFrame, media: DataFrame, frame: int = FRAME) -> DataFram
 
     def lay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"media_id": [], "frame_no": [], "pcm": []})
+            return pd.DataFrame([], columns=["media_id", "frame_no", "pcm"], dtype=object)
         n = int(min(frame, left["total"].iloc[0] - left["frame_no"].iloc[0] * frame))
         out = np.zeros(n, np.float32)
         for o, p in right.sort_values("ord", kind="stable")[["offset", "part"]].itertuples(index=False):
@@ -80,7 +80,7 @@ def mix_down(audio: DataFrame, media: DataFrame, frame: int = FRAME) -> DataFram
 def overlay_samples(spans: DataFrame) -> DataFrame:
     """media_id, sample, value: the last writer's value at each sample that a span (media_id, ord, first, last, value) covers.
 
-    For sparse timelines; dense audio goes through mix_down.
+    A row per sample: for short spans. overlay.overlay_runs has the same as intervals; dense audio goes through mix_down.
     """
     rows = spans.where("last >= first").select("media_id", "ord", "value", F.explode(F.sequence("first", "last")).alias("sample"))
     return rows.groupBy("media_id", "sample").agg(F.max_by("value", "ord").alias("value"))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import languages, text, timecode
-from ..operators import audio, cues, grid, match, refine, segment, timeline, tools
+from ..operators import audio, cues, grid, match, overlay, refine, segment, timeline, tools
+from ..operators import resample as resample_
 from ..operators.providers import EnergyVad
 from .. import schema
-from ..sources import documents, srt
+from ..session import shared_path
+from ..sources import documents, srt, wav_files
 from . import views
 from .views import CALLS, CUES, MEDIA, MERGED, STATE, table, timecode_sql
 
@@ -404,12 +406,12 @@ def chunk_bounds(spark, d):
 
 
 @_register(f"""
-with {MEDIA}, t as (select media_id, 8000::bigint * 300 as size, max(end_ms) // 100 * 8 as n from media group by media_id),
+with {MEDIA}, t as (select media_id, 8000::bigint * 300 as size, max(end_ms) * 8 as n from media group by media_id),
 c as (select *, unnest(range(0, cast(ceil(n / size::double) as bigint))) as chunk_no from t)
 select media_id, chunk_no, chunk_no * size as first_sample, least(size, n - chunk_no * size) as n_samples from c
 """)
 def sample_chunks(spark, d):
-    m = views.media(spark, d).groupBy("media_id").agg((F.floor(F.max("end_ms") / 100) * 8).alias("n_samples")).withColumn("sample_rate", F.lit(8000))
+    m = views.media(spark, d).groupBy("media_id").agg((F.max("end_ms") * 8).alias("n_samples")).withColumn("sample_rate", F.lit(8000))
     return timeline.sample_chunks(m)
 
 
@@ -423,30 +425,81 @@ def sample_positions(spark, d):
 
 
 @_register(f"""
-with {CUES}, s as (select user_id, cue_id, start_ms // 1000 as first, end_ms // 1000 as last from cues),
-x as (select user_id, cue_id, unnest(range(first, last + 1)) as sample from s)
-select cast(user_id as varchar) as media_id, sample, max(cue_id) as value from x group by user_id, sample
+with {CUES}, s as (select cast(user_id as varchar) as media_id, cue_id, start_ms as a, end_ms as z from cues),
+p as (select media_id, a as pos from s union select media_id, z + 1 from s),
+g as (select media_id, pos, lead(pos) over (partition by media_id order by pos) - 1 as till from p),
+w as (select g.media_id, pos, till, max(cue_id) as value from g join s on s.media_id = g.media_id and s.a <= pos and s.z >= till group by g.media_id, pos, till),
+o as (select *, case when lag(value) over v = value and lag(till) over v + 1 = pos then 0 else 1 end as opens from w window v as (partition by media_id order by pos)),
+n as (select *, sum(opens) over (partition by media_id order by pos rows unbounded preceding) as k from o)
+select media_id, min(pos) as first, max(till) as last, any_value(value) as value from n group by media_id, k
 """)
 def overlay_lww(spark, d):
+    """Every cue is a span in its user's timeline, to the millisecond; later cues lie over earlier ones."""
     c = views.cues(spark, d)
-    return audio.overlay_samples(c.select(F.col("user_id").cast("string").alias("media_id"), F.col("cue_id").alias("ord"), F.floor(F.col("start_ms") / 1000).alias("first"), F.floor(F.col("end_ms") / 1000).alias("last"), F.col("cue_id").alias("value")))
+    return overlay.overlay_runs(c.select(F.col("user_id").cast("string").alias("media_id"), F.col("cue_id").alias("ord"), F.col("start_ms").alias("first"), F.col("end_ms").alias("last"), F.col("cue_id").alias("value")))
+
+
+#: Every cue sounds from its start to its end, at 100 Hz, over the whole time axis of its track.
+_SOUND = f"""
+{CUES}, s as (select track, cue_id, start_ms // 10 as first, greatest((end_ms - start_ms) // 10, 1) as n from cues),
+t as (select track, max(end_ms) // 10 as total from cues group by track),
+x as (select track, cue_id, first, unnest(range(0, n)) as i from s),
+v as (select x.track, first + i as sample, max(cue_id) as top, arg_max((cue_id * 31 + i) % 1000, cue_id) as value from x join t on t.track = x.track and first + i < total group by x.track, first + i)
+"""
+
+
+def _sound(spark, d, scale=1.0):
+    c = views.cues(spark, d)
+    n = "greatest((end_ms - start_ms) div 10, 1)"
+    pcm = F.expr(f"transform(sequence(0, {n} - 1), i -> cast((cue_id * 31 + i) % 1000 / {scale} as float))")
+    seg = c.select(F.col("track").alias("media_id"), F.col("cue_id").alias("ord"), "start_ms", F.lit(100).alias("sample_rate"), pcm.alias("pcm"))
+    media = c.groupBy(F.col("track").alias("media_id")).agg(F.max("end_ms").alias("total_ms")).withColumn("sample_rate", F.lit(100))
+    return audio.mix_down(seg, media)
+
+
+def _checksum(first, value):
+    """Sum of whole values, each times its place's remainder."""
+    return F.aggregate(F.transform("pcm", lambda x, i: value(x).cast("bigint") * ((first + i) % 1009)), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 @_register(f"""
-with {CUES}, s as (select track, cue_id, start_ms % 60000 as first, 1 + cue_id % 5 as n from cues),
-x as (select track, cue_id, unnest(range(first, first + n)) as sample from s),
-v as (select track, sample, max(cue_id) as value from x where sample < 60000 group by track, sample),
-f as (select distinct event_type as track, unnest(range(0, 15)) as frame_no from events)
-select f.track as media_id, frame_no, cast(coalesce(sum(value), 0) as bigint) as total, count(*) filter (value <> 0) as n_set from f left join v on v.track = f.track and v.sample // 4096 = f.frame_no group by f.track, frame_no
+with {_SOUND},
+f as (select track, unnest(range(0, (total - 1) // {audio.FRAME} + 1)) as frame_no from t)
+select f.track as media_id, frame_no, cast(coalesce(sum(value * (sample % 1009)), 0) as bigint) as total, count(*) filter (value <> 0) as n_set from f left join v on v.track = f.track and v.sample // {audio.FRAME} = f.frame_no group by f.track, frame_no
 """)
 def mix_down(spark, d):
-    """One-sample steps at 1 kHz: each cue writes its number, later cues over earlier ones."""
-    c = views.cues(spark, d)
-    seg = c.select(F.col("track").alias("media_id"), F.col("cue_id").alias("ord"), F.expr("start_ms % 60000").alias("start_ms"), F.lit(1000).alias("sample_rate"), F.expr("transform(sequence(0, cast(cue_id % 5 as int)), x -> cast(cue_id as float))").alias("pcm"))
-    media = c.select(F.col("track").alias("media_id")).distinct().select("media_id", F.lit(60000).cast("bigint").alias("total_ms"), F.lit(1000).alias("sample_rate"))
-    frames = audio.mix_down(seg, media, frame=4096)
-    total = F.aggregate("pcm", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
-    return frames.select("media_id", "frame_no", total.alias("total"), F.size(F.filter("pcm", lambda x: x != 0)).cast("bigint").alias("n_set"))
+    frames = _sound(spark, d)
+    return frames.select("media_id", "frame_no", _checksum(F.col("frame_no") * audio.FRAME, lambda x: x).alias("total"), F.size(F.filter("pcm", lambda x: x != 0)).cast("bigint").alias("n_set"))
+
+
+@_register(f"""
+with {_SOUND},
+c as (select track, sum(cast(round(cast(value / 1000.0 as float)::double * 32767) as bigint) * (sample % 1009)) as total from v group by track)
+select t.track as media_id, total as n_samples, 100 as sample_rate, cast(coalesce(c.total, 0) as bigint) as checksum from t left join c on c.track = t.track
+""".replace("select t.track as media_id, total as n_samples", "select t.track as media_id, t.total as n_samples"))
+def mix_to_file(spark, d):
+    """The mix of every track as one WAV file, read back by byte ranges."""
+    frames = _sound(spark, d, 1000.0).select("media_id", (F.col("frame_no") * audio.FRAME).alias("first_sample"), F.lit(100).alias("sample_rate"), "pcm")
+    path = shared_path(spark, "mix")
+    wav_files.write_wav(frames, path)
+    pieces = wav_files.read_pieces(spark, path, split_bytes=1 << 20)
+    media = F.url_decode(F.regexp_extract("media_id", r"([^/]*)\.wav$", 1)).alias("media_id")
+    per = pieces.select(media, F.size("pcm").cast("bigint").alias("n"), "sample_rate", _checksum(F.col("first_sample"), lambda x: F.round(x * 32768)).alias("total"))
+    return per.groupBy("media_id").agg(F.sum("n").alias("n_samples"), F.max("sample_rate").alias("sample_rate"), F.sum("total").alias("checksum"))
+
+
+@_register(f"""
+with p as (select vec_id % 8 as m, vec_id // 8 as n, embedding as e from embeddings),
+x as (select m, n * 64 + i - 1 as sample, e[i]::double as v from (select m, n, e, unnest(range(1, 65)) as i from p)),
+t as (select m, count(*) as n from x group by m),
+h as (select unnest({resample_.filter_bank(1000, 500)[0].tolist()}::double[]) as h, unnest(range({1 - resample_.reach(1000, 500)}, {resample_.reach(1000, 500) + 1})) as k),
+y as (select x.m, (x.sample - k) // 2 as sample, sum(v * h) as y from x, h where (x.sample - k) % 2 = 0 and x.sample - k >= 0 group by x.m, (x.sample - k) // 2)
+select cast(y.m as varchar) as media_id, sample, cast(floor(cast(y as float)::double * 1000) as bigint) as value from y join t on t.m = y.m where sample < t.n // 2
+""")
+def resample_pieces(spark, d):
+    """Vectors are pieces of audio at 1 kHz, resampled to 500 Hz in blocks of another size."""
+    out = resample_.resample(views.pieces(spark, d, 1000), 500, block=100)
+    return out.select("media_id", "first_sample", F.posexplode("pcm")).select("media_id", (F.col("first_sample") + F.col("pos")).alias("sample"), F.floor(F.col("col").cast("double") * 1000).alias("value"))
 
 
 @_register("select cast(label as varchar) as media_id, case when count(*) filter (vec_id % 50 = 49) = 0 then count(*) * 64 end as n_samples, case when count(*) filter (vec_id % 50 = 49) = 0 then md5(string_agg(array_to_string(list_transform(embedding, lambda x: cast(cast(floor(x::double * 1000) as bigint) as varchar)), ' '), ' ' order by vec_id)) end as pcm_md5 from embeddings group by label")
@@ -470,8 +523,8 @@ select cast(m as varchar) as media_id, n // 3 as frag_id, printf('%d_%06d_%010d_
 """)
 def fragment_cut(spark, d):
     """Each vector is a piece of audio at 1 kHz; fragments of 100 ms are cut over the pieces' borders, from chunks of another size."""
-    e = table(spark, d, "embeddings").select((F.col("vec_id") % 8).cast("string").alias("media_id"), F.floor(F.col("vec_id") / 8).alias("n"), "embedding")
-    pieces = e.select("media_id", (F.col("n") * 64).alias("first_sample"), F.lit(1000).alias("sample_rate"), F.col("embedding").alias("pcm"))
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 8).cast("string").alias("media_id"), F.floor(F.col("vec_id") / 8).alias("n"))
+    pieces = views.pieces(spark, d, 1000)
     start = F.col("n") * 64 + 17
     spans = e.where("n % 3 = 0").select("media_id", F.floor(F.col("n") / 3).alias("frag_id"), start.alias("start_ms"), (start + 100).alias("end_ms"))
     digest = F.md5(F.array_join(F.transform("pcm", lambda x: F.floor(x.cast("double") * 1000).cast("string")), " "))
@@ -479,17 +532,18 @@ def fragment_cut(spark, d):
 
 
 @_register("""
-with c as (select vec_id % 8 as m, vec_id // 8 as n, vec_id % 7 * 70 as a, 640 - vec_id % 5 * 30 as b from embeddings where vec_id % 11 <> 0),
-seg as (select m, n, n * 640 + a as s, n * 640 + b as e from c where b - a >= 250),
+with p as (select vec_id % 8 as m, vec_id // 8 as n, embedding as e from embeddings),
+loud as (select m, n, i - 1 as i from (select m, n, e, unnest(range(1, 65)) as i from p) where abs(e[i]) > cast(0.15 as float)),
+b as (select *, case when i - lag(i) over w - 1 < 5 then 0 else 1 end as opens from loud window w as (partition by m, n order by i)),
+k as (select *, sum(opens) over (partition by m, n order by i rows unbounded preceding) as k from b),
+seg as (select m, n, n * 640 + min(i) * 10 as s, n * 640 + (max(i) + 1) * 10 as e from k group by m, n, k having (max(i) + 1 - min(i)) * 10 >= 50),
 o as (select *, case when lag(n) over w + 1 = n and abs(lag(e) over w - n * 640) < 100 and s - n * 640 < 500 then 0 else 1 end as opens from seg window w as (partition by m order by s, e)),
 g as (select *, sum(opens) over (partition by m order by s, e rows unbounded preceding) - 1 as frag_id from o)
 select cast(m as varchar) as media_id, frag_id, min(s) as start_ms, max(e) as end_ms, count(*) as n_parts from g group by m, frag_id
 """)
 def segment_audio(spark, d):
-    """A burst of sound per vector, some too short and some none, at 100 Hz: chunks, detector and stitching in one go."""
-    e = table(spark, d, "embeddings").select((F.col("vec_id") % 8).cast("string").alias("media_id"), F.floor(F.col("vec_id") / 8).alias("n"), "vec_id")
-    loud = F.expr("transform(sequence(0, 63), i -> cast(if(vec_id % 11 <> 0 and i >= vec_id % 7 * 7 and i < 64 - vec_id % 5 * 3, 1, 0) as float))")
-    return segment.segment_audio(e.select("media_id", (F.col("n") * 64).alias("first_sample"), F.lit(100).alias("sample_rate"), loud.alias("pcm")), EnergyVad(), chunk_ms=640)
+    """Vectors are audio at 100 Hz: chunks, detector and stitching in one go. Where an entry is large, there is sound."""
+    return segment.segment_audio(views.pieces(spark, d, 100), EnergyVad(threshold=0.15, min_speech_ms=50, min_silence_ms=50), chunk_ms=640)
 
 
 # --- refinement -----------------------------------------------------------------------------------------------------

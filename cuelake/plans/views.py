@@ -77,6 +77,12 @@ media as (
 """
 
 
+def pieces(spark: SparkSession, sf_dir: str, sample_rate: int) -> DataFrame:
+    """media_id, first_sample, sample_rate, pcm: every vector is a piece of audio, in eight media."""
+    first = F.floor(F.col("vec_id") / 8) * 64
+    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).cast("string").alias("media_id"), first.alias("first_sample"), F.lit(sample_rate).alias("sample_rate"), F.col("embedding").alias("pcm"))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log of calls on one track per event_type, with user_id as position: some are invalid, some name no cue."""
     e = table(spark, sf_dir, "events")
