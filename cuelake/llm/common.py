@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,19 +53,62 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: What is to be done when the innermost open scope() closes.
+_scopes: list[list[Callable[[], None]]] = []
+
+
+def at_close(done: Callable[[], None]) -> None:
+    """Runs done when the scope around closes; without one, what an operator wrote stays in the shared folder."""
+    if _scopes:
+        _scopes[-1].append(done)
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Owns the tables that operators write meanwhile and deletes them at its end.
+
+    A result that reads them must be written by then: the function that comes with the scope writes a table as written()
+    does, which outlives it.
+    """
+
+    def outside(df: DataFrame, name: str) -> DataFrame:
+        inner = _scopes.pop()
+        try:
+            return written(df, name)
+        finally:
+            _scopes.append(inner)
+
+    _scopes.append([])
+    try:
+        yield outside
+    finally:
+        for done in reversed(_scopes.pop()):
+            done()
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read from it again: its lineage ends there."""
-    path = shared_path(df.sparkSession, name)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    at_close(lambda: delete_folder(spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() returned and nothing will read again."""
     for t in tables:
         for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(t.sparkSession, folder)
+
+
+def utf8(text: Column) -> Column:
+    """The bytes of a text: what goes to Python, so that bytes that are no UTF-8 don't end a job there."""
+    return text.cast("binary")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
@@ -41,7 +42,7 @@ HINTS = {
     "form": ("form", "newsletter", "subscribe", "signup", "login", "search", "register", "contact"),
     "content": ("article", "post", "entry", "content", "main", "story", "body", "text", "prose"),
 }
-_EXACT = {"ad": "ad", "ads": "ad", "adv": "ad", "adslot": "ad", "navigation": "nav"}
+_EXACT = {"contentinfo": "foot", "ad": "ad", "ads": "ad", "adv": "ad", "adslot": "ad", "navigation": "nav"}
 ANCESTORS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "list", "table", "figure", "blockquote", "button", "pre", "details")
 _GROUP = {"ul": "list", "ol": "list", "dl": "list", "menu": "list", "figcaption": "figure", "label": "button", "option": "button", "fieldset": "form", "legend": "form", "dialog": "nav"}
 BITS = {name: 1 << i for i, name in enumerate((*(f"in_{a}" for a in ANCESTORS), *(f"is_{h}" for h in HINTS), "hidden", "header_in_article", "footer_in_article", "aside_in_article"))}
@@ -86,6 +87,7 @@ def leaf_blocks(page: str) -> list[Block]:
     """The page's blocks of text in order. Character references are decoded and white space becomes single spaces."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # open block elements, each with the bits of all that are open around it
+    n_open: Counter[str] = Counter()  # of each tag; the end of one that isn't open costs nothing
     parts: list[str] = []
     links = in_link = 0
 
@@ -121,20 +123,22 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in _VOID:
             continue
         if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while n_open[tag]:
+                last = stack.pop()[0]
+                n_open[last] -= 1
+                if last == tag:
                     break
             continue
         if stack and tag in _ENDS_P and stack[-1][0] == "p":
-            stack.pop()
+            n_open[stack.pop()[0]] -= 1
         ends = _CLOSES.get(tag)
-        while ends and stack and stack[-1][0] in ends | {"p"}:
-            stack.pop()
+        while ends and stack and (stack[-1][0] in ends or stack[-1][0] == "p"):
+            n_open[stack.pop()[0]] -= 1
         around = stack[-1][1] if stack else 0
         bits = around | _own_bits(tag, m["attrs"])
         if around & BITS["in_article"] and tag in ("header", "footer", "aside"):
             bits |= BITS[f"{tag}_in_article"]
         stack.append((tag, bits))
+        n_open[tag] += 1
     flush()
     return out

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, table, utf8
 from .html_blocks import BITS, Block, leaf_blocks, title_of
 from .html_pages import labelled_pages
 
@@ -120,16 +120,16 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """page_id, url, text, n_chars per row of pages.
 
     A null or empty html gives an empty text, whatever the page_id; rows that repeat a page_id are extracted one
-    by one. Other columns are left out. An empty table gives an empty result.
+    by one. Bytes that are no UTF-8 count as U+FFFD. Other columns are left out. An empty table gives an empty result.
     """
     field = field or default_field()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [main_text(h, field) for h in pdf["html"]]
+            texts = [main_text(None if h is None else bytes(h).decode("utf-8", "replace"), field) for h in pdf["html"]]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pick(pages, "page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pick(pages, "page_id", "url", "html").withColumn("html", utf8(F.col("html"))).mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from .common import partitions, table
 SEED = 20
 #: Up to so many sources, the table of rates (one short row a source) goes to every task; beyond, it is joined by shuffle.
 RATES_BROADCAST = 10_000
+#: Copies of a document are made in runs of so many.
+RUN = 4096
 
 
 def hash_uniform(text: Column) -> Column:
@@ -22,20 +26,30 @@ def hash_uniform(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
 
 
-def _poisson_cdf(rate: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... up to where the rest is below 2^-52."""
+@lru_cache(maxsize=32)
+def _poisson_cdf(rate: float) -> tuple[int, np.ndarray]:
+    """The first k, and P(X <= k) from there up to where the rest is below 2^-52.
+
+    Twelve deviations around the rate hold all that a number of 52 bits can tell apart, so a large rate takes
+    the root of its size in memory, and for as long as a task draws from it.
+    """
     if rate <= 0:
-        return [1.0]
-    total, out = 0.0, []
-    for k in range(int(rate + 12 * math.sqrt(rate) + 40)):
-        total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
-        out.append(total)
-    return out
+        return 0, np.ones(1)
+    spread = 12 * math.sqrt(rate) + 40
+    low = max(0, int(rate - spread))
+    return low, np.cumsum([math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) for k in range(low, int(rate + spread))])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _cdfs(rates: pd.Series) -> pd.Series:
-    return rates.map(_poisson_cdf)
+@F.pandas_udf(T.LongType())
+def _draws(rates: pd.Series, u: pd.Series) -> pd.Series:
+    """For each rate and uniform number, how many k have P(X <= k) at most that number."""
+    out = np.zeros(len(rates), np.int64)
+    rate, of = np.unique(rates.to_numpy(), return_inverse=True)
+    for i, r in enumerate(rate):
+        low, cdf = _poisson_cdf(float(r))
+        own = of == i
+        out[own] = low + np.searchsorted(cdf, u.to_numpy()[own], side="right")
+    return pd.Series(out)
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0) -> DataFrame:
@@ -72,19 +86,22 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     own = ("n_copies", "copy", "rate", "mix_key")
     rates = source_rates(docs, weights, epochs).select("source", "rate")
     known = rates.limit(RATES_BROADCAST + 1).collect()
-    schema = T.StructType([T.StructField("of", T.StringType()), T.StructField("rate", T.DoubleType()), T.StructField("cdf", T.ArrayType(T.DoubleType()))])
     if len(known) <= RATES_BROADCAST:
-        small = F.broadcast(spark.createDataFrame([(r["source"], r["rate"], _poisson_cdf(r["rate"])) for r in known], schema))
+        small = F.broadcast(spark.createDataFrame([tuple(r) for r in known], "of string, rate double"))
     else:
-        small = rates.select(F.col("source").alias("of"), "rate", _cdfs("rate").alias("cdf"))
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in own]).alias("doc"))
-    rows = rows.join(small, F.col("doc.source").eqNullSafe(F.col("of")))
-    ident = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null"))
+        small = rates.select(F.col("source").alias("of"), "rate")
+    names = [c for c in docs.columns if c not in own]
+    doc = [f"_d{i}" for i in range(len(names))]  # whatever names the columns have, they don't clash
+    rows = docs.select(*[F.col(f"`{c}`").alias(d) for c, d in zip(names, doc)])
+    rows = rows.join(small, F.col(doc[names.index("source")]).eqNullSafe(F.col("of")))
+    ident = F.coalesce(F.col(doc[names.index("doc_id")]).cast("string"), F.lit("null"))
     u = hash_uniform(F.concat_ws(":", F.lit(str(seed)), ident))
-    rows = rows.withColumn("u", u).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("u"))))
-    rows = rows.where("n_copies > 0").select("doc", "rate", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
-    rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"))))
-    out = rows.select("doc.*", "n_copies", "copy", "rate", "mix_key")
+    # the draw is part of the row before it multiplies: copies come in runs, so no array grows with a rate
+    rows = rows.select(*doc, "rate", _draws("rate", u).alias("n_copies"))
+    rows = rows.select(*doc, "rate", "n_copies", F.explode(F.when(F.col("n_copies") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("n_copies") - 1, F.lit(RUN).cast("bigint")))).alias("first"))
+    rows = rows.select(*doc, "rate", "n_copies", F.explode(F.sequence("first", F.least(F.col("first") + RUN, F.col("n_copies")) - 1)).alias("copy"))
+    rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), ident, F.col("copy").cast("string"))))
+    out = rows.select(*[F.col(d).alias(c) for c, d in zip(names, doc)], "n_copies", "copy", "rate", "mix_key")
     return out.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
 
 

@@ -10,8 +10,6 @@ checked by the similarity computed from all shingles of both texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -19,14 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, pick, small, text_key, written
+from .common import pick, small, text_key, utf8, written
 from .components import components
 from .simhash_dedup import RADIUS, keep_least, near_links, simhash
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 20, 3, 42
-#: Members of a bucket that are compared with all the others.
-PIVOTS = 1
 #: Shingles of a block of texts that are compared with each other in one task, and parts of a cluster that lies in many blocks.
 BLOCK_SHINGLES, PARTS = 1 << 21, 8
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,9 +34,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: bytes | None) -> np.ndarray:
     """A hash per word, A-Z in lower case."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, lower() and split() know ASCII only
+    words = (text or b"").lower().split()  # of bytes, lower() and split() know ASCII only
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
@@ -102,56 +98,25 @@ def _shingles(texts: pd.Series) -> pd.Series:
     return pd.Series([multiset(shingles(word_hashes(t))).view(np.int64) for t in texts])
 
 
-class _Pairs:
-    """Over rows (key, node, n, root) sorted by (key, node): pairs to be compared as (0, a, b, 0).
+def _candidates(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of buckets (rows: key, node, n, root) the pairs (a, b) to be compared, and what is left (key, node).
 
-    The first `pivots` nodes of a bucket meet all that follow them. Of a bucket with two or more nodes beyond those, in
-    more than one component, these come out as (1, key, node, n), to be compared in another way. Pairs of one component
-    need no comparison, nor do pairs whose sizes alone keep them below the similarity.
+    The first node of a bucket meets all others. A bucket with two or more nodes beyond that, in more than one component, is
+    left to be compared in another way. Pairs of one component need no comparison, nor do pairs whose sizes alone
+    keep them below the similarity. A bucket is never gathered: its first node comes by an aggregate, which both sides of
+    the join are shuffled for (the second key sees to that), so that Spark can split a hot bucket.
     """
-
-    def __init__(self, pivots: int, similarity: float):
-        self.pivots, self.similarity = pivots, similarity
-
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []  # rows of the bucket that the last batch has not closed
-        for pdf in batches:
-            rows = pdf[["key", "node", "n", "root"]].to_numpy(np.int64)
-            if not len(rows):
-                continue
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if held and (cut or rows[0, 0] != held[0][0, 0]):
-                yield from self.step(np.concatenate([*held, rows[:cut]]))
-                held = []
-            elif cut:
-                yield from self.step(rows[:cut])
-            held.append(rows[cut:])
-        if held:
-            yield from self.step(np.concatenate(held))
-
-    def step(self, rows: np.ndarray) -> Iterator[pd.DataFrame]:
-        key, of, n, root = rows.T
-        first = np.concatenate(([True], key[1:] != key[:-1]))
-        starts = np.flatnonzero(first)
-        bucket = np.cumsum(first) - 1
-        rank = np.arange(len(rows)) - starts[bucket]
-        for p in range(self.pivots):
-            b = np.flatnonzero(rank > p)
-            if not len(b):
-                break
-            a = starts[bucket[b]] + p
-            fits = np.minimum(n[a], n[b]) >= self.similarity * np.maximum(n[a], n[b]) - 1e-9
-            ok = (root[a] != root[b]) & fits
-            if ok.any():
-                yield pd.DataFrame({"kind": 0, "a": of[a[ok]], "b": of[b[ok]], "n": 0})
-        rest = np.flatnonzero(rank >= self.pivots)
-        if len(rest):
-            head = np.minimum(starts[bucket[rest]] + self.pivots, len(rows) - 1)
-            mixed = np.zeros(len(starts), bool)
-            mixed[bucket[rest][root[rest] != root[head]]] = True
-            rest = rest[mixed[bucket[rest]]]
-            if len(rest):
-                yield pd.DataFrame({"kind": 1, "a": key[rest], "b": of[rest], "n": n[rest]})
+    heads = rows.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("head"), F.count("*").alias("members")).where("members > 1")
+    half = lambda c: F.pmod(F.xxhash64(c), F.lit(2))
+    heads = heads.select(F.col("key").alias("of"), "head", "members", half("key").alias("of_half"))
+    met = rows.withColumn("half", half("key")).join(heads, (F.col("key") == F.col("of")) & (F.col("half") == F.col("of_half"))).where("node <> head.node")
+    met = written(met.select("key", "node", "n", "root", "head", "members"), "candidates")
+    fits = F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-9
+    pairs = met.where((F.col("root") != F.col("head.root")) & fits).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+    more = met.where("members > 2")
+    mixed = more.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("key").alias("of"), half("key").alias("of_half"))
+    rest = more.withColumn("half", half("key")).join(mixed, (F.col("key") == F.col("of")) & (F.col("half") == F.col("of_half")), "left_semi").select("key", "node")
+    return pairs, rest
 
 
 def _sets(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -159,7 +124,7 @@ def _sets(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
     need = written(groups.join(nodes, "node", "left_semi").select("node", F.col("text_h").alias("of_h"), F.col("text_n").alias("of_n")), "need")
     # of the texts, only those that are needed leave the JVM; rows alike in text meet in the group
     texts = docs.select("text", *text_key(F.col("text"))).join(small(need, 64 * need.count()), (F.col("text_h") == F.col("of_h")) & (F.col("text_n") == F.col("of_n")))
-    return written(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _shingles("text").alias("s")), "sets")
+    return written(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _shingles(utf8(F.col("text"))).alias("s")), "sets")
 
 
 def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
@@ -282,8 +247,8 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RA
     Null, empty and blank texts are one node. Rows that repeat a doc_id are rows of their own. A null doc_id is the
     smallest of no component, unless there is no other, where component_id is null. An empty table gives an empty result.
     """
-    spark, docs = docs.sparkSession, pick(docs, "doc_id", "text")
-    prints = written(docs.select("doc_id", *text_key(F.col("text")), _print("text").alias("p")).select("doc_id", "text_h", "text_n", "p.*"), "prints")
+    docs = pick(docs, "doc_id", "text")
+    prints = written(docs.select("doc_id", *text_key(F.col("text")), _print(utf8(F.col("text"))).alias("p")).select("doc_id", "text_h", "text_n", "p.*"), "prints")
     one = F.min(F.struct("text_h", "text_n")).alias("t")
     groups = prints.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), one)
     groups = written(groups.select("node", "first_doc", "n", "fp", "keys", "t.*"), "groups")
@@ -293,11 +258,9 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RA
     rows = groups.select(F.explode("keys").alias("key"), "node", "n")
     for by_bands in (True, False):
         rows = rows.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-        found = written(dealt.mapInPandas(_Pairs(PIVOTS, similarity).__call__, "kind long, a long, b long, n long"), "candidates")
-        pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs, rest = _candidates(rows, similarity)
         roots = _merged(roots, _alike(docs, groups, written(pairs, "pairs"), similarity))
-        rest = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
+        rest = written(rest, "rest")
         if rest.isEmpty():
             break
         sets = _sets(docs, groups, rest.select("node").distinct())

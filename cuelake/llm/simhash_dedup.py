@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, pick, table, text_key, written
+from .common import partitions, pick, table, text_key, utf8, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -32,9 +32,9 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of the word shingles of a whole text, A-Z in lower case; no words: zero."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, lower() and split() know ASCII only
+def fingerprint(text: bytes | None) -> int:
+    """64-bit SimHash of the word shingles of a whole text (its bytes, whatever they are), A-Z in lower case; no words: zero."""
+    words = (text or b"").lower().split()  # of bytes, lower() and split() know ASCII only
     if not words:
         return 0
     joined = b" ".join(words)
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64))
 
-    return pick(docs, "doc_id", "text").select("doc_id", *text_key(F.col("text")), of("text").alias("fp"))
+    return pick(docs, "doc_id", "text").select("doc_id", *text_key(F.col("text")), of(utf8(F.col("text"))).alias("fp"))
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:

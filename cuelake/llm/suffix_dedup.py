@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, pick, shared_path, table, written
+from .common import at_close, delete_folder, partitions, pick, shared_path, table, utf8, written
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a chunk (a longer document is a chunk of its own size), and positions that are handled at once.
@@ -142,7 +142,7 @@ def _packing(most: int):
         size = 0
         for pdf in batches:
             for c, i, t in zip(pdf["chunk"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                raw = t.encode("utf-8", "surrogatepass")
+                raw = bytes(t)
                 held.setdefault(c, []).append((i, raw))
                 size += len(raw)
                 if size >= most:
@@ -391,6 +391,8 @@ def _across(answers: DataFrame) -> DataFrame:
 
 def _classes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order and classes of equal rows within a chunk, classes in any order: by a hash, if rows of one hash prove to be the same."""
+    if not len(words):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.zeros(len(words), np.uint64)
     for c in range(words.shape[1]):
         h = _mixed(h * np.uint64(_FACTOR) + words[:, c])
@@ -458,10 +460,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
     per_range = -(-n_buckets // max_ranges)
     n_tasks = min(n_buckets, MAX_RANGES)
 
-    packed = known.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk"), "doc_id", "text").mapInPandas(_packing(32 << 20), "chunk long, docs binary")
+    packed = known.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk"), "doc_id", utf8(F.col("text")).alias("text")).mapInPandas(_packing(32 << 20), "chunk long, docs binary")
     name = f"chunks_{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     # dealt by the hash that buckets have: every task writes one bucket, and what follows needs no shuffle of text
-    packed.repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", shared_path(spark, name)).option("compression", "uncompressed").saveAsTable(name)
+    packed.repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    at_close(lambda: spark.sql(f"drop table if exists {name}"))
+    at_close(lambda: delete_folder(spark, path))
     chunks = spark.table(name)
 
     hashes = chunks.groupBy("chunk").applyInPandas(_hash_rows(length, n_buckets), "chunk long, bucket int, hashes binary")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table, written
+from .common import pick, table, utf8, written
 
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of doc_id.
 MAX_LABELLED = 8_000
@@ -68,6 +68,11 @@ def fold(text: str | None) -> str:
     return f" {t.translate(_FOLD)} "
 
 
+def plain(text: str | bytes | None) -> str | None:
+    """A text from its bytes; what is no UTF-8 counts as U+FFFD."""
+    return bytes(text).decode("utf-8", "replace") if isinstance(text, bytes | bytearray) else text
+
+
 def _counted(entries: tuple[str, ...]):
     """The matcher of these patterns, each with its number."""
     a = ahocorasick.Automaton()
@@ -92,8 +97,8 @@ class Lexicon:
     def scorer(self):
         matcher = _counted(self.patterns) if self.patterns else None
 
-        def score(text: str | None) -> float:
-            t = fold(text)
+        def score(text: str | bytes | None) -> float:
+            t = fold(plain(text))
             found = sum(self.weights[k] for _, (k, _) in matcher.iter_long(t)) if matcher else 0.0
             return self.score(found, len(t.split()))
 
@@ -108,11 +113,12 @@ def _prefix_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         counts: dict[str, list[int]] = {}
         for text, label in zip(pdf["text"], pdf["label"]):
-            words = set(fold(text).split())
+            words = set(fold(plain(text)).split())
             seen = {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w for w in words if len(w) == 3}
             for s in seen:
                 counts.setdefault(s, [0, 0])[label] += 1
-        yield pd.DataFrame({"entry": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]})
+        if counts:
+            yield pd.DataFrame({"entry": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]})
 
 
 def _phrase_counts(entries: tuple[str, ...]):
@@ -123,7 +129,7 @@ def _phrase_counts(entries: tuple[str, ...]):
         for pdf in batches:
             out: dict[str, list[int]] = {}
             for text, label in zip(pdf["text"], pdf["label"]):
-                words = fold(text).split()
+                words = fold(plain(text)).split()
                 seen = set()
                 for k, w in enumerate(words):
                     hits = list(matcher.iter_long(f" {w}"))
@@ -132,7 +138,8 @@ def _phrase_counts(entries: tuple[str, ...]):
                         seen.update(f" {a} {b} " for a, b in zip(words[max(0, k - 1) : k + 1], words[max(0, k - 1) + 1 : k + 2]))
                 for s in seen:
                     out.setdefault(s, [0, 0])[label] += 1
-            yield pd.DataFrame({"entry": list(out), "clean": [c[0] for c in out.values()], "toxic": [c[1] for c in out.values()]})
+            if out:
+                yield pd.DataFrame({"entry": list(out), "clean": [c[0] for c in out.values()], "toxic": [c[1] for c in out.values()]})
 
     return run
 
@@ -141,7 +148,7 @@ def _match_counts(entries: tuple[str, ...], weights: tuple[float, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = _counted(entries)
         for pdf in batches:
-            texts = [fold(t) for t in pdf["text"]]
+            texts = [fold(plain(t)) for t in pdf["text"]]
             found = [sum(weights[k] for _, (k, _) in matcher.iter_long(t)) for t in texts]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "found": found, "n_words": [len(t.split()) for t in texts]})
 
@@ -217,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     chosen = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
     chosen = chosen.select("doc_id", (F.col("toxic") == 1).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
     # at most max_labelled rows of two numbers
-    rows = written(pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    rows = written(pick(docs, "doc_id", "text").withColumn("text", utf8(F.col("text"))).join(F.broadcast(chosen), "doc_id"), "labelled")
     classes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_clean, n_toxic = classes.get(0, 0), classes.get(1, 0)
     if not n_clean or not n_toxic:
@@ -248,7 +255,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for texts in batches:
             yield pd.Series([of(t) for t in texts], dtype="float64")
 
-    return pick(docs, "doc_id", "text").select("doc_id", F.pandas_udf(_typed(run), "double")("text").alias("score"))
+    return pick(docs, "doc_id", "text").select("doc_id", F.pandas_udf(_typed(run), "double")(utf8(F.col("text"))).alias("score"))
 
 
 def _typed(run):
