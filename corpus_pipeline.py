@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import pick, table, written
+from cuelake.llm.common import discard, pick, scope, table
 from cuelake.llm.decontam import decontaminate
 from cuelake.llm.line_dedup import line_dedup
 from cuelake.llm.mixing import mix_sources
@@ -79,9 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote on its way goes once its result is written, and that once the next one's is."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scope() as outside:
+            docs = outside(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
