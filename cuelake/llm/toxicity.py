@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import ahocorasick
 import numpy as np
@@ -26,8 +27,8 @@ from .common import pick, table, utf8, written
 MAX_LABELLED = 8_000
 THRESHOLD = 0.7
 SHORTEST, LONGEST = 4, 12
-#: Least evidence (log-likelihood ratio) and weight (log odds) of an entry.
-LEAST, LEAST_WEIGHT = 20.0, 1.5
+#: Risk that any of the candidates tested is an entry by chance alone, least weight (log odds), and least toxic documents.
+RISK, LEAST_WEIGHT, LEAST_TOXIC = 0.05, 1.5, 3
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -176,14 +177,22 @@ def _evidence(n_clean: int, n_toxic: int) -> tuple[Column, Column]:
     return part("clean", n_clean / n) + part("toxic", n_toxic / n), odds
 
 
-def _choose(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> dict[str, float]:
+def least_evidence(tested: int, risk: float = RISK) -> float:
+    """The log-likelihood ratio that one of so many candidates reaches by chance with this risk (chi-squared, one degree).
+
+    So the bound follows the labels: few of them give few candidates, and entries that few documents prove.
+    """
+    return NormalDist().inv_cdf(1 - risk / max(tested, 1) / 2) ** 2
+
+
+def _choose(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int, least: float) -> dict[str, float]:
     """Entries by falling evidence; what an entry already says, its own beginnings and continuations don't repeat."""
     scored = [(round(_surprise(c, t, n_clean, n_toxic), 6), len(e), e, c, t) for e, c, t in rows if t / n_toxic > c / n_clean]
     chosen: dict[str, float] = {}
     beginnings: set[str] = set()
     for g, _, e, c, t in sorted(scored, key=lambda x: (-x[0], -x[1], x[2])):
         w = _log_odds(c, t, n_clean, n_toxic)
-        if g < LEAST or w < LEAST_WEIGHT or e in beginnings or any(e[:n] in chosen for n in range(1, len(e))):
+        if g < least or w < LEAST_WEIGHT or e in beginnings or any(e[:n] in chosen for n in range(1, len(e))):
             continue
         chosen[e] = w
         beginnings.update(e[:n] for n in range(1, len(e) + 1))
@@ -232,8 +241,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     counts = lambda f: rows.select("text", "label").mapInPandas(f, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # what comes to the driver has evidence in the labelled sample, so its number is bounded by that of the sample's words
     evidence, odds = _evidence(n_clean, n_toxic)
-    telling = counts(_prefix_counts).where((F.col("toxic") >= 3) & (evidence >= LEAST - 1e-3) & (odds >= LEAST_WEIGHT - 1e-3))
-    entries = _choose([(r["entry"], r["clean"], r["toxic"]) for r in telling.collect()], n_clean, n_toxic)
+    tested = written(counts(_prefix_counts).where(F.col("toxic") >= LEAST_TOXIC), "tested")
+    least = least_evidence(tested.count())
+    telling = tested.where((evidence >= least - 1e-3) & (odds >= LEAST_WEIGHT - 1e-3))
+    entries = _choose([(r["entry"], r["clean"], r["toxic"]) for r in telling.collect()], n_clean, n_toxic, least)
     patterns = {f" {e}": w for e, w in entries.items()}
     if not patterns:
         return Lexicon((), ())
