@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import discard, pick, scope, table
+from cuelake.llm.common import discard, pick, scope, table, written  # noqa: F401  written is for callers that run the stages themselves
 from cuelake.llm.decontam import decontaminate
 from cuelake.llm.line_dedup import line_dedup
 from cuelake.llm.mixing import mix_sources
