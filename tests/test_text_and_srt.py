@@ -97,3 +97,15 @@ def test_files_round_trip(spark, tmp_path):
     assert srt.render_as_parsed(cues).first().content == content
     srt.write_srt(srt.render_as_parsed(cues).withColumn("track", F.lit("x")), str(tmp_path / "out"))
     assert content.strip() in (next((tmp_path / "out" / "track=x").glob("*.txt"))).read_text(encoding="utf-8")
+
+
+def test_long_runs_of_blanks_cost_their_length(spark):
+    """A pattern that is tried anew at every blank would not come to an end here."""
+    gap = " " * 200_000
+    rows = [(1, f"a{gap}b"), (2, f"{gap}a{gap}\n{gap}"), (3, gap)]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, x string").select("i", text.clean_text(F.col("x")).alias("t")).collect()}
+    assert got == {1: "a b", 2: "a", 3: ""}
+    content = f"1\n00:00:01,000{gap}-->{gap}00:00:02,000\nx\n\n2\n00:00:01,000{gap}\ny\n\n3\n{'z' * 200_000}\nt\n"
+    for dialect in ("strict", "lenient"):
+        cues = srt.parse_srt(spark.createDataFrame([("f", content)], "track string, content string"), dialect)
+        assert [(r.cue_index, r.start_ms, r.end_ms, r.text) for r in cues.collect()] == [(1, 1000, 2000, "x")]
