@@ -186,3 +186,12 @@ def test_conversations_read_back(spark):
 def test_prefix_sums_of_long_arrays(spark):
     df = spark.range(1).select(F.sequence(F.lit(1).cast("long"), F.lit(1000).cast("long")).alias("v"))
     assert df.select(chat._prefix(F.col("v")).alias("p")).first().p == np.cumsum(range(1, 1001)).tolist()
+
+
+def test_unclosed_markup_costs_its_length():
+    """Every end tag without a start would else walk all that is open; this page would take half an hour."""
+    from cuelake.llm.html_blocks import leaf_blocks
+
+    n = 200_000
+    blocks = leaf_blocks("<div>" * n + "</p>" * n + "<p>text</p>" + "</div>" * n + "<p>more")
+    assert [(b.text, b.tag) for b in blocks] == [("text", "p"), ("more", "p")]
