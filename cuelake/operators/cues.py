@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_two_lines
-from .ordered import numbered, running_sum, with_next
+from .greedy import greedy_groups
+from .ordered import numbered, ranged, with_next
 
 MIN_MS, MAX_MS = 500, 7000
 #: Cues of a track are handled in stretches of so much time, which bounds the rows of a task by cue density.
 BLOCK_MS = 6 * 3600 * 1000
-#: Islands up to this size fold as one row's array, whose cost grows with the square; larger ones stream.
-HOF_ISLAND = 256
 
 
 def _block() -> Column:
@@ -25,38 +21,18 @@ def _block() -> Column:
 def merge_short(cues: DataFrame, min_ms: int = MIN_MS, max_ms: int = MAX_MS, by_line: bool = False) -> DataFrame:
     """track, start_ms, end_ms, text, cue_id, n_merged: runs of cues shorter than min_ms merged greedily.
 
-    In order of (start_ms, cue_id), a short cue opens a group, and further short ones join it while the group
+    In order of (start_ms, cue_id, end_ms, text), a short cue opens a group, and further short ones join it while the group
     stays within max_ms; a cue that isn't short ends it and is never merged. Texts join by a space, or line by
-    line if by_line and all have as many lines. The group's end is its last cue's. Between two normal cues lies
-    an island of short ones, which folds on its own, so a long track spreads over many tasks. A short cue that ends
-    more than max_ms after the start of the cue before it opens a group whatever came earlier, so it opens an island
-    too: a track of nothing but short cues is parted at its pauses.
+    line if by_line and all have as many lines. The group's end is its last cue's. Cues without a start or an end are left out,
+    a null text is empty, a null track is a track. Cues are folded in blocks of bounded size, however long a run of
+    short ones is and however dense (greedy_groups); only a group, whose cues start within max_ms, is gathered in a row.
     """
     short = (F.col("end_ms") - F.col("start_ms")) < min_ms
-    rows = cues.select("track", "cue_id", "start_ms", "end_ms", "text").withColumns({"_short": short, "_stretch": _block()})
+    rows = cues.select("track", "cue_id", "start_ms", "end_ms", "text").withColumn("_short", short).where("_short is not null")
+    rows = ranged(rows, ["track"], ["start_ms", "cue_id", "end_ms"], ["text"], "cues")
     whole = rows.where(~F.col("_short")).select("track", "start_ms", "end_ms", "text", "cue_id", F.lit(1).cast("bigint").alias("n_merged"))
-    # within a stretch only: an island that isn't parted folds to the same groups
-    before = F.lag("start_ms").over(Window.partitionBy("track", "_stretch").orderBy("start_ms", "cue_id"))
-    rows = rows.withColumn("_open", F.when(short & ~F.coalesce(F.col("end_ms") - before > max_ms, F.lit(False)), 0).otherwise(1).cast("bigint"))
-    rows = running_sum(rows, ["track"], ["start_ms", "cue_id"], F.col("_stretch"), F.col("_open"), "_island")
-    item = F.struct("start_ms", "cue_id", "end_ms", "text")
-    islands = rows.where("_short").groupBy("track", "_island").agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(item)).alias("_cues"))
-    small = islands.where(F.col("_n") <= HOF_ISLAND).select("track", "_island", F.posexplode(F.arrays_zip(F.col("_cues"), _groups(F.col("_cues"), max_ms).alias("g"))).alias("_i", "_z"))
-    small = small.select("track", "_island", F.col("_z._cues").alias("c"), F.col("_z.g").alias("g"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for track, island, cues_ in zip(pdf["track"], pdf["_island"], pdf["_cues"]):
-                group, begin = -1, None
-                for c in cues_:
-                    if begin is None or c["end_ms"] - begin > max_ms:
-                        group, begin = group + 1, c["start_ms"]
-                    out.append((track, island, c, group))
-            yield pd.DataFrame(out, columns=["track", "_island", "c", "g"])
-
-    large = islands.where(F.col("_n") > HOF_ISLAND).drop("_n").mapInPandas(fold, small.schema)
-    per = small.unionByName(large).groupBy("track", "_island", "g").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    item = F.struct("_at", "start_ms", "cue_id", "end_ms", "text")
+    per = greedy_groups(rows, max_ms).groupBy("_group").agg(F.first("track").alias("track"), F.sort_array(F.collect_list(item)).alias("c"))
     texts = F.transform("c", lambda x: F.coalesce(x["text"], F.lit("")))
     text = F.array_join(texts, " ")
     if by_line:
@@ -69,18 +45,6 @@ def merge_short(cues: DataFrame, min_ms: int = MIN_MS, max_ms: int = MAX_MS, by_
     return whole.unionByName(merged)
 
 
-def _groups(cues: Column, max_ms: int) -> Column:
-    """The group number of each cue of an island: a new one where the cue would reach beyond max_ms."""
-    start = F.struct(F.lit(None).cast("bigint").alias("begin"), F.lit(-1).alias("g"), F.array().cast("array<int>").alias("out"))
-
-    def add(acc: Column, c: Column) -> Column:
-        opens = acc["begin"].isNull() | (c["end_ms"] - acc["begin"] > max_ms)
-        g = F.when(opens, acc["g"] + 1).otherwise(acc["g"])
-        return F.struct(F.when(opens, c["start_ms"]).otherwise(acc["begin"]).alias("begin"), g.alias("g"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    return F.aggregate(cues, start, add, lambda acc: acc["out"])
-
-
 def number_cues(cues: DataFrame, out: str = "number") -> DataFrame:
     """1-based numbers by (start_ms, cue_id) within a track."""
     return numbered(cues, ["track"], ["start_ms", "cue_id"], _block(), out)

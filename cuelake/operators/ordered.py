@@ -9,6 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
+#: Bits of a row's number within its range, and of those the low ones that number it within its block.
+RANGE_BITS, BLOCK_BITS = 33, 16
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str], ties: list[str], name: str) -> DataFrame:
+    """df as a table in the order of keys, order and ties, with _at, which rises along it, and _block, in which no more than 65,536 rows are.
+
+    Ranges are cut by sampled rows rather than by values, so their size doesn't depend on how dense the order is. Rows alike
+    in keys and order are in one range. The table is written once, so numbers hold whatever is read from it again.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order, *ties)
+    return saved(dealt.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_block", F.shiftright("_at", BLOCK_BITS))
+
 
 def _blocks(df: DataFrame, keys: list[str], order: list[str], block: Column) -> tuple[DataFrame, Window]:
     df = df.withColumn("_block", block)

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuelake.operators import cues, ordered
+from cuelake.operators import cues, greedy, ordered
 from cuelake.sources import srt
 from pyspark.sql import functions as F
 
@@ -40,18 +40,75 @@ def test_merge_equals_spec_on_random_tracks(spark):
         assert merged(spark, rows) == spec_merge(rows)
 
 
-def test_large_island_streams_like_a_small_one(spark):
-    rows = [(k * 50, k, k * 50 + 40, "x") for k in range(cues.HOF_ISLAND + 200)]
+def small_blocks(monkeypatch, bits=4, fan=3):
+    """Blocks of 2^bits rows and a tree of a few nodes a task, so that few rows are many of both."""
+    monkeypatch.setattr(ordered, "BLOCK_BITS", bits)
+    monkeypatch.setattr(greedy, "FAN", fan)
+
+
+def test_one_island_over_many_blocks(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    rows = [(k * 50, k, k * 50 + 40, "x") for k in range(2000)]
+    assert merged(spark, rows) == spec_merge(rows)
+
+
+def test_groups_that_span_many_blocks(spark, monkeypatch):
+    """Cues so dense that a block passes on the group that is open before it, and ties."""
+    small_blocks(monkeypatch)
+    r = random.Random(4)
+    rows = [(r.randrange(0, 30_000) // 10 * 10, k, 0, str(k)) for k in range(1500)]
+    rows = [(s, k, s + r.choice((-300, 0, 30, 499)), t) for s, k, _, t in rows]
     assert merged(spark, rows) == spec_merge(rows)
+    assert merged(spark, rows, max_ms=90) == spec_merge(rows, max_ms=90)
+
+
+def test_tracks_meet_within_a_block_and_at_its_border(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    r = random.Random(5)
+    tracks = {t: sorted((r.randrange(0, 60_000), k) for k in range(n)) for t, n in ((None, 33), ("", 48), ("a", 1), ("b", 250), ("c", 16), ("d", 90))}
+    rows = [(t, k, s, s + (700 if t == "d" and k % 20 == 0 else 60), f"{k}") for t, cs in tracks.items() for s, k in cs]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(((r.track is None, r.track or "", r.start_ms, r.end_ms, r.text, r.cue_id, r.n_merged) for r in cues.merge_short(df).collect()))
+    want = [(t is None, t or "", *m) for t in tracks for m in spec_merge([(s, k, e, x) for u, k, s, e, x in rows if u == t])]
+    assert got == sorted(want)
+
+
+def test_cues_without_times_are_left_out_and_none_are_no_error(spark):
+    df = spark.createDataFrame([("t", 1, None, 5, "a"), ("t", 2, 5, None, "b"), ("t", 3, 10, 20, None), ("t", 4, 30, 40, "d")], SCHEMA)
+    assert [(r.start_ms, r.end_ms, r.text, r.cue_id, r.n_merged) for r in cues.merge_short(df).collect()] == [(10, 40, " d", 3, 2)]
+    assert cues.merge_short(df.where("false")).count() == 0
+
+
+def test_functions_of_blocks_equal_the_fold():
+    """Every start that can be open before a block, through one block and through two composed ones."""
+    r = random.Random(6)
+    for _ in range(300):
+        n, max_ms = r.randrange(1, 30), r.choice((0, 40, 200, 3000))
+        start = sorted(r.randrange(0, 2000) for _ in range(2 * n))
+        end = [s + r.choice((-50, 0, 10, 150)) for s in start]
+        short, new = [r.random() > 0.03 for _ in start], [r.random() < 0.02 for _ in start]
+        new[0] = new[n] = False
+        parts = [greedy._step_function(start[i : i + n], end[i : i + n], short[i : i + n], new[i : i + n], list(range(i, i + n)), max_ms) for i in (0, n)]
+        both = greedy._compose(*parts, start[0])
+        for begin, at in [(-greedy.NEVER, greedy.CLOSED)] + [(start[0] - d, 999) for d in range(0, 3200, 7)]:
+            b, a = begin, at
+            for k in range(2 * n):
+                if new[k] or not short[k]:
+                    b, a = -greedy.NEVER, greedy.CLOSED
+                if short[k] and end[k] - b > max_ms:
+                    b, a = start[k], k
+                if k == n - 1:
+                    assert greedy._after(parts[0], [s[0] for s in parts[0]], begin, at) == (b, a)
+            assert greedy._after(both, [s[0] for s in both], begin, at) == (b, a)
 
 
 def test_pauses_part_a_track_of_short_cues(spark, monkeypatch):
+    small_blocks(monkeypatch, 6, 5)
     r = random.Random(9)
     at, rows = 0, []
     for k in range(3000):
         at += r.choice((0, 50, 300, 6_700, 6_950, 7_000, 8_000))
         rows.append((at, k, at + r.choice((0, 50, 499)), f"c{k}"))
-    monkeypatch.setattr(cues, "HOF_ISLAND", 40)
     assert merged(spark, rows) == spec_merge(rows)
 
 
