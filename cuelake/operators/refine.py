@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_two_lines, join_pair, preview
+from .call_log import CallLog
 
 KEEP, CHANGE = "this_is_fine", "this_should_be"
 VERSION = "1.0.0"
@@ -140,6 +141,37 @@ def refine(state: DataFrame, ask: Callable[[DataFrame, bool], DataFrame], save:
     return state, stats
 
 
+def refine_logged(state: DataFrame | None, ask: Callable[[DataFrame, bool], DataFrame], log: CallLog, config: Config | None = None) -> tuple[DataFrame, Stats]:
+    """As refine, but a round writes its calls only; the state is the log's base with the calls since.
+
+    Every checkpoint_every rounds calls become part of the base. A log that was begun goes on where it stopped, whatever state
+    is given; a round that a lost run left half-written is asked anew. Rounds are numbered on, so a later run's calls count after.
+    """
+    config, stats = config or Config(), Stats()
+    if not log.begun():
+        if state is None:
+            raise ValueError("there is no log to resume, and no state to begin one")
+        log.begin(state)
+    now = log.state()
+    done, total = now.agg(F.count_if(F.col("state") == "finished"), F.count("*")).first()
+    while done < total:
+        stats.rounds += 1
+        w = windows(now, config.window).select(F.col("track").alias("_t"), "win_start", "win_end", "first_unfinished")
+        entries = now.join(w, F.col("track") == F.col("_t")).where("pos between win_start and win_end").drop("_t")
+        stats.calls += 1
+        log.append(valid_calls(ask(entries, stats.idle > 0)))
+        if stats.rounds % config.checkpoint_every == 0:
+            log.compact()
+        now = log.state()
+        finished = now.agg(F.count_if(F.col("state") == "finished")).first()[0]
+        stats.idle = 0 if finished > done else stats.idle + 1
+        stats.finished.append(finished)
+        if stats.idle >= config.max_idle and finished < total:
+            raise RuntimeError(f"no progress in {stats.idle} rounds: {finished} of {total} cues are finished")
+        done = finished
+    return now, stats
+
+
 def save_checkpoint(state: DataFrame, path: str, input_file: str, round_no: int) -> DataFrame:
     """Writes state under path/round=N with its version and input file, and returns it as read again."""
     where = f"{path.rstrip('/')}/round={round_no:08d}"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import languages, text, timecode
-from ..operators import audio, cues, grid, match, overlay, refine, segment, timeline, tools
+from ..operators import audio, call_log, cues, grid, match, overlay, paid_once, refine, segment, timeline, tools
 from ..operators import resample as resample_
 from ..operators.providers import EnergyVad
 from .. import schema
@@ -612,6 +612,46 @@ def window_display(spark, d):
     return refine.window_display(s.join(first, "track").withColumn("is_center", F.col("pos") == F.col("first_unfinished")))
 
 
+@_register(f"""
+with {STATE}
+select track, pos, 'finished' as state, case when state = 'finished' or pos % 5 = 0 then text else 'second ' || pos || chr(10) || 'first ' || pos end as text from state
+""")
+def refine_logged(spark, d):
+    """All tracks refined in windows of a third of the longest, by a scripted service that keeps every fifth cue and changes the others."""
+    state = views.state(spark, d)
+
+    def ask(entries, retry):
+        keep = F.col("pos") % 5 == 0
+        rows = entries.where("state = 'unfinished'").select("track", "pos", F.col("pos").alias("call_seq"), F.when(keep, refine.KEEP).otherwise(refine.CHANGE).alias("name"))
+        text = lambda t: F.when(F.col("name") == refine.CHANGE, F.concat(F.lit(t), F.col("pos").cast("string")))
+        return rows.withColumns({"first_text": text("first "), "second_text": text("second ")})
+
+    longest = state.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0]
+    log = call_log.CallLog(spark, shared_path(spark, "log"), "events")
+    out, _ = refine.refine_logged(state, ask, log, refine.Config(window=longest // 3 + 2, checkpoint_every=2))
+    return out.select("track", "pos", "state", "text")
+
+
+class _Labels:
+    """A service that names a user's kind of event."""
+
+    def healthy(self):
+        return True
+
+    def call(self, requests):
+        return [{"label": f"{r['event_type'].upper()}:{r['user_id']}"} for r in requests]
+
+
+@_register("select event_id, upper(event_type) || ':' || user_id as label, cast(event_type = 'click' as int) as first_run from events")
+def calls_paid_once(spark, d):
+    """Two runs over one store: clicks first, as if the run had been lost there, then all events; equal requests are one call."""
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id")
+    ask = lambda rows: paid_once.call_once(rows, _Labels(), "labels", ["event_type", "user_id"], "label string", store)
+    store = shared_path(spark, "answers")
+    clicks = ask(e.where("event_type = 'click'")).select(F.col("event_id").alias("_id"))
+    return ask(e).join(clicks, F.col("event_id") == F.col("_id"), "left").select("event_id", "label", F.col("_id").isNotNull().cast("int").alias("first_run"))
+
+
 @_register(f"""
 with {CALLS} select track, call_seq, name, pos, case when name = 'this_should_be' then first_text end as first_text, case when name = 'this_should_be' then second_text end as second_text from calls
 """)

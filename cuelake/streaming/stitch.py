@@ -17,6 +17,12 @@ STATE = "frag_id bigint, start_ms bigint, end_ms bigint, chunk_no bigint, n_part
 COLUMNS = ["media_id", "frag_id", "start_ms", "end_ms", "n_parts"]
 
 
+def goes_on(end: int, last_chunk: int, chunk: int, start: int, chunk_ms: int, edge_ms: int, gap_ms: int) -> bool:
+    """Whether a segment continues the span that ends at end in last_chunk."""
+    low = chunk * chunk_ms
+    return last_chunk + 1 == chunk and abs(end - low) < edge_ms and start - low < gap_ms
+
+
 def stepper(chunk_ms: int, edge_ms: int, gap_ms: int, idle_ms: int | None):
     """What a batch, or a timeout, does to a medium's state: its last number and span, with n_parts 0 where no span is open."""
 
@@ -32,8 +38,7 @@ def stepper(chunk_ms: int, edge_ms: int, gap_ms: int, idle_ms: int | None):
         rows = pd.concat(list(batches)).sort_values(["start_ms", "end_ms"], kind="stable")
         ended = False
         for chunk, a, b, last in rows[["chunk_no", "start_ms", "end_ms", "is_last"]].itertuples(index=False):
-            low = chunk * chunk_ms
-            if now and now[4] and now[3] + 1 == chunk and abs(now[2] - low) < edge_ms and a - low < gap_ms:
+            if now and now[4] and goes_on(now[2], now[3], chunk, a, chunk_ms, edge_ms, gap_ms):
                 now[2], now[3], now[4] = max(now[2], b), chunk, now[4] + 1
             else:
                 if now and now[4]:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelake.operators import refine
+from cuelake.operators.call_log import CallLog
 
 CALLS = "track string, call_seq long, name string, pos long, first_text string, second_text string"
 
@@ -78,3 +79,75 @@ def test_progress_windows_and_texts(spark):
     assert refine.windows(state(spark, 2, done=(1, 2)), 6).count() == 0
     text = refine.window_text(s.where("pos < 3").withColumn("win", F.lit(0))).first().prompt
     assert text == "Subtitle #1:\n  Target: a1\n  Source: b1\n\nSubtitle #2:\n  Target: a2\n  Source: b2\n"
+
+
+def as_asked(entries, retry):
+    """Keeps odd positions; changes even ones, a text more with every round, and leaves out 8 unless it is asked first."""
+    rows = entries.where("state = 'unfinished' and (pos <> 8 or first_unfinished = 8)")
+    name = F.when(F.col("pos") % 2 == 1, refine.KEEP).otherwise(refine.CHANGE)
+    text = lambda t: F.when(F.col("pos") % 2 == 0, F.concat(F.lit(t), F.col("pos").cast("string")))
+    return rows.select("track", F.col("pos").alias("call_seq"), name.alias("name"), "pos", text("f").alias("first_text"), text("s").alias("second_text"))
+
+
+def rows_of(state):
+    return sorted(map(tuple, state.select("track", "pos", "state", "text").collect()))
+
+
+def test_logged_refinement_is_refinement(spark, tmp_path):
+    want, plain = refine.refine(state(spark, 20, done=(3,)), as_asked, saver(tmp_path / "plain"), refine.Config(window=6))
+    log = CallLog(spark, str(tmp_path / "log"), "dir/in ü.srt")
+    got, stats = refine.refine_logged(state(spark, 20, done=(3,)), as_asked, log, refine.Config(window=6, checkpoint_every=2))
+    assert rows_of(got) == rows_of(want) and stats.finished == plain.finished
+    assert log.remove() and not log.begun()
+
+
+def test_a_round_writes_its_calls_and_bases_end_the_log(spark, tmp_path):
+    log = CallLog(spark, str(tmp_path), "in.srt")
+    log.begin(state(spark, 2000))
+    for n, (low, high) in enumerate(((1, 6), (7, 9)), 1):
+        log.append(keep_all(log.state().where(f"pos between {low} and {high}"), False))
+        assert log.last() == n
+    assert [log.spark.read.parquet(log._at("calls", n)).count() for n in (1, 2)] == [6, 3]
+    assert log.calls(0).count() == 9 and log.calls(1).count() == 3 and log.calls(2) is None
+    before = rows_of(log.state())
+    log.compact()
+    assert rows_of(log.state()) == before and log._rounds("base") == [2] and log._rounds("calls") == [] and log.last() == 2
+    log.append(keep_all(log.state().where("pos = 10"), False))
+    assert log.last() == 3 and refine.progress(log.state()).first().finished == 10
+
+
+def test_later_rounds_change_what_earlier_ones_set(spark, tmp_path):
+    log = CallLog(spark, str(tmp_path), "in.srt")
+    log.begin(state(spark, 3))
+    for f, seq in (("late", 9), ("later", 1)):
+        log.append(spark.createDataFrame([("t", seq, refine.CHANGE, 2, f, "s")], CALLS))
+    assert rows_of(log.state())[1] == ("t", 2, "finished", "s\nlater")
+
+
+def test_a_lost_run_goes_on_from_its_log(spark, tmp_path):
+    log, asked = CallLog(spark, str(tmp_path), "in.srt"), []
+
+    def breaks(entries, retry):
+        asked.append(entries.agg(F.min("pos")).first()[0])
+        if len(asked) == 4:
+            raise RuntimeError("lost")
+        return as_asked(entries, retry)
+
+    config = refine.Config(window=4, checkpoint_every=2)
+    with pytest.raises(RuntimeError, match="lost"):
+        refine.refine_logged(state(spark, 20), breaks, log, config)
+    # a round and a base that were under way
+    for name in ("calls-00000004", "base-00000003"):
+        (tmp_path / "in.srt" / name).mkdir()
+    reached = refine.progress(log.state()).first().finished
+    assert log.last() == 3 and reached > 0
+    got, stats = refine.refine_logged(None, breaks, log, config)
+    assert stats.finished[0] > reached
+    assert rows_of(got) == rows_of(refine.refine(state(spark, 20), as_asked, saver(tmp_path / "plain"), config)[0])
+    with pytest.raises(ValueError):
+        refine.refine_logged(None, breaks, CallLog(spark, str(tmp_path), "other.srt"), config)
+
+
+def test_logged_refinement_without_progress_ends(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="no progress in 2 rounds: 0 of 5"):
+        refine.refine_logged(state(spark, 5), lambda e, retry: keep_all(e, retry).where("false"), CallLog(spark, str(tmp_path), "x"), refine.Config(max_idle=2))
