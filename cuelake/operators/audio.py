@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sum
+
 #: Samples of one output frame of a mix-down: what a task holds, whatever the length of the medium.
 FRAME = 1 << 16
 
@@ -92,6 +94,20 @@ def concat_chunks(chunks: DataFrame) -> DataFrame:
     return per.select("media_id", F.when(F.col("ok"), F.flatten(F.transform("c", lambda x: x["pcm"]))).alias("pcm"))
 
 
+def concat_pieces(chunks: DataFrame, per_block: int = 256) -> DataFrame:
+    """media_id, chunk_no, first_sample, pcm: where each chunk (media_id, chunk_no, pcm) lies in its medium, in order of chunk_no.
+
+    As concat_chunks without a row per medium: all or nothing, so a medium of which a chunk failed (has no pcm) has no rows.
+    Chunks of one number lie in order of their samples; a null media_id is a medium. No task holds more than
+    per_block chunk numbers of a medium at once.
+    """
+    failed = chunks.where("pcm is null").select(F.col("media_id").alias("_m")).distinct()
+    rows = chunks.select("media_id", "chunk_no", "pcm").where("pcm is not null").join(failed, F.col("media_id").eqNullSafe(F.col("_m")), "left_anti")
+    n = F.size("pcm").cast("bigint")
+    rows = running_sum(rows, ["media_id"], ["chunk_no", "pcm"], F.floor(F.col("chunk_no") / per_block), n, "_end")
+    return rows.select("media_id", "chunk_no", (F.col("_end") - n).alias("first_sample"), "pcm")
+
+
 def durations(segments: DataFrame) -> DataFrame:
     """media_id, total_ms (the last end), n_rates, rates: for media whose own length isn't known, and a check of their rates."""
     return segments.groupBy("media_id").agg(F.max("end_ms").alias("total_ms"), F.count_distinct("sample_rate").alias("n_rates"), F.sort_array(F.collect_set("sample_rate")).alias("rates"))

@@ -83,3 +83,14 @@ def render_as_parsed(cues: DataFrame) -> DataFrame:
 def write_srt(rendered: DataFrame, path: str) -> None:
     """One folder of text per track under path (track=.../), written by the executors; an older one is replaced."""
     rendered.select("track", F.col("content").alias("value")).write.mode("overwrite").partitionBy("track").text(path)
+
+
+def write_srt_parts(cues: DataFrame, path: str, merge: bool = True) -> None:
+    """As write_srt of render_srt, for tracks of any length: a folder per track (track=.../) of text parts.
+
+    Entries are dealt by ranges of (track, number), so a long track is many tasks. In order of their names the parts of a
+    track are what write_srt writes, byte by byte.
+    """
+    n = int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = srt_entries(cues, merge).repartitionByRange(n, "track", "number").sortWithinPartitions("track", "number")
+    rows.select("track", F.col("entry").alias("value")).write.mode("overwrite").partitionBy("track").text(path)

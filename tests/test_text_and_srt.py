@@ -109,3 +109,14 @@ def test_long_runs_of_blanks_cost_their_length(spark):
     for dialect in ("strict", "lenient"):
         cues = srt.parse_srt(spark.createDataFrame([("f", content)], "track string, content string"), dialect)
         assert [(r.cue_index, r.start_ms, r.end_ms, r.text) for r in cues.collect()] == [(1, 1000, 2000, "x")]
+
+
+def test_parts_of_a_track_are_its_file(spark, tmp_path):
+    rows = [(t, k, k * 900, k * 900 + (100 if k % 7 == 0 else 800), f"cue {k} of {t}") for t, n in (("long", 300), ("short one", 2)) for k in range(n)]
+    df = spark.createDataFrame(rows, "track string, cue_id long, start_ms long, end_ms long, text string")
+    srt.write_srt(srt.render_srt(df), str(tmp_path / "whole"))
+    srt.write_srt_parts(df, str(tmp_path / "parts"))
+    read = lambda kind, t: [f.read_bytes() for f in sorted((tmp_path / kind / f"track={t}").glob("part-*"))]
+    for t in ("long", "short one"):
+        assert b"".join(read("parts", t)) == b"".join(read("whole", t)) != b""
+    assert len(read("parts", "long")) > 1

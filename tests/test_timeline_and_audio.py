@@ -1,3 +1,5 @@
+import random
+
 import json
 
 import numpy as np
@@ -154,3 +156,18 @@ def test_grid_names_summary(spark):
             grid.speaker_grid(t, *bad)
     r = spark.range(1).select(languages.output_name(F.lit("v"), F.lit("a"), F.lit("b"), "clone").alias("c"), languages.refined_name(F.lit("v.a-b.srt")).alias("r")).first()
     assert (r.c, r.r) == ("v.b.cloned.wav", "v.a-b.refined.srt")
+
+
+def test_concatenation_in_pieces_is_the_concatenation(spark):
+    r = random.Random(8)
+    rows = [(m, k, [float(r.randrange(9)) for _ in range(r.randrange(0, 6))]) for m, n in (("a", 40), ("b", 7), (None, 9), ("c", 3)) for k in range(n)]
+    rows += [("a", 5, [1.0, 2.0]), ("c", 3, None)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "media_id string, chunk_no long, pcm array<float>")
+    whole = {x.media_id: x.pcm for x in audio.concat_chunks(df).collect()}
+    got: dict = {}
+    for x in sorted(audio.concat_pieces(df, per_block=4).collect(), key=lambda x: (x.media_id or "", x.first_sample, len(x.pcm))):
+        out = got.setdefault(x.media_id, [])
+        assert x.first_sample == len(out)
+        out += x.pcm
+    assert whole.pop("c") is None and got == whole
+    assert audio.concat_pieces(df.where("false")).count() == 0
