@@ -510,13 +510,13 @@ def chunk_concat(spark, d):
 
 
 @_register("""
-with e as (select cast(label as varchar) as media_id, vec_id as chunk_no, len(embedding) as n, vec_id % 50 = 49 as failed from embeddings)
+with e as (select cast(label as varchar) as media_id, vec_id as chunk_no, len(embedding) as n, vec_id % 50 = 49 and label % 2 = 1 as failed from embeddings)
 select media_id, chunk_no, cast(sum(n) over (partition by media_id order by chunk_no) - n as bigint) as first_sample, n as n_samples from e
 where not exists (select 1 from e f where f.failed and f.media_id is not distinct from e.media_id)
 """)
 def chunk_pieces(spark, d):
-    """Where the chunks of media lie of which none failed: every fiftieth vector is a failed one."""
-    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("media_id"), F.col("vec_id").alias("chunk_no"), F.expr("case when vec_id % 50 <> 49 then embedding end").alias("pcm"))
+    """Where the chunks of media lie of which none failed: every fiftieth vector of an odd label is a failed one."""
+    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("media_id"), F.col("vec_id").alias("chunk_no"), F.expr("case when not coalesce(vec_id % 50 = 49 and label % 2 = 1, false) then embedding end").alias("pcm"))
     return audio.concat_pieces(e).select("media_id", "chunk_no", "first_sample", F.size("pcm").cast("bigint").alias("n_samples"))
 
 
