@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,35 +51,43 @@ def mix_down(audio: DataFrame, media: DataFrame, frame: int = FRAME) -> DataFram
 
     A later segment (by ord) overwrites earlier ones; what lies outside [0, total) is cut off; silence is zero.
     media: media_id, total_ms, sample_rate. Every frame is one group, so a long medium is many tasks. Frames
-    without any segment are silent.
+    without any segment are silent. Segments meet their medium only in its frames: a join on media_id would put all of a
+    medium in one task.
     """
     size = F.floor(F.col("total_ms") * F.col("sample_rate") / 1000).cast("bigint")
     total = media.select("media_id", size.alias("total"))
     frames = total.where("total > 0").select("media_id", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / frame))).alias("frame_no"))
     at = F.floor(F.col("start_ms") * F.col("sample_rate") / 1000).cast("bigint")
-    placed = audio.join(total, "media_id").select("media_id", "ord", at.alias("at"), "pcm", "total").where(F.col("at") < F.col("total")).where(F.col("at") + F.size("pcm") > 0).where(F.size("pcm") > 0)
-    first, last = F.floor(F.greatest("at", F.lit(0)) / frame), F.floor((F.least(F.col("at") + F.size("pcm"), F.col("total")) - 1) / frame)
+    n = F.size("pcm")
+    placed = audio.where("media_id is not null").select("media_id", "ord", at.alias("at"), "pcm")
+    first, last = F.floor(F.greatest("at", F.lit(0)) / frame), F.floor((F.col("at") + n - 1) / frame)
 
     def piece(no):
         """What of a segment lies in a frame, cut out before rows multiply."""
         low = F.greatest(no * frame - F.col("at"), F.lit(0)).cast("int")
-        high = F.least((no + 1) * frame - F.col("at"), F.size("pcm")).cast("int")
+        high = F.least((no + 1) * frame - F.col("at"), n).cast("int")
         return F.struct(no.alias("frame_no"), (F.col("at") + low - no * frame).alias("offset"), F.slice("pcm", low + 1, high - low).alias("part"))
 
-    pieces = placed.select("media_id", "ord", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("media_id", "p.frame_no", "ord", "p.offset", "p.part")
-
-    def lay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame([], columns=["media_id", "frame_no", "pcm"], dtype=object)
-        n = int(min(frame, left["total"].iloc[0] - left["frame_no"].iloc[0] * frame))
-        out = np.zeros(n, np.float32)
-        for o, p in right.sort_values("ord", kind="stable")[["offset", "part"]].itertuples(index=False):
-            part = np.asarray(p, np.float32)[: n - int(o)]
-            out[int(o) : int(o) + len(part)] = part
-        return pd.DataFrame({"media_id": [left["media_id"].iloc[0]], "frame_no": [left["frame_no"].iloc[0]], "pcm": [out]})
+    # no filter on pcm: it would be pushed down, and what makes the samples would run once more for each condition
+    cut = F.when((n > 0) & (F.col("at") + n > 0), F.transform(F.sequence(first, last), piece))
+    pieces = placed.select("media_id", "ord", F.explode(cut).alias("p")).select("media_id", "p.frame_no", "ord", "p.offset", "p.part")
+
+    def lay(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.select(["media_id", "frame_no"]).append_column("pcm", pa.array([], pa.list_(pa.float32())))
+        no, total = left["frame_no"][0].as_py(), left["total"][0].as_py()
+        out = np.zeros(min(frame, total - no * frame), np.float32)
+        parts = [(c.values.to_numpy(zero_copy_only=False), low, high) for c in right["part"].chunks for low, high in pairwise(c.offsets.to_pylist())]
+        offsets = right["offset"].to_pylist()
+        for i in pc.sort_indices(right, [("ord", "ascending")]).to_pylist():
+            o, (x, low, high) = offsets[i], parts[i]
+            high = max(min(high, low + len(out) - o), low)
+            out[o : o + high - low] = x[low:high]
+        pcm = pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out))
+        return left.select(["media_id", "frame_no"]).slice(0, 1).append_column("pcm", pcm)
 
     keys = ["media_id", "frame_no"]
-    return frames.groupBy(*keys).cogroup(pieces.groupBy(*keys)).applyInPandas(lay, "media_id string, frame_no bigint, pcm array<float>")
+    return frames.groupBy(*keys).cogroup(pieces.groupBy(*keys)).applyInArrow(lay, "media_id string, frame_no bigint, pcm array<float>")
 
 
 def overlay_samples(spans: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import languages, text, timecode
 from ..operators import audio, call_log, cues, grid, match, overlay, paid_once, refine, segment, timeline, tools
@@ -449,17 +452,24 @@ v as (select x.track, first + i as sample, max(cue_id) as top, arg_max((cue_id *
 
 
 def _sound(spark, d, scale=1.0):
+    """Cues are dealt out before they get samples, as the table may come in few splits."""
     c = views.cues(spark, d)
     n = "greatest((end_ms - start_ms) div 10, 1)"
-    pcm = F.expr(f"transform(sequence(0, {n} - 1), i -> cast((cue_id * 31 + i) % 1000 / {scale} as float))")
-    seg = c.select(F.col("track").alias("media_id"), F.col("cue_id").alias("ord"), "start_ms", F.lit(100).alias("sample_rate"), pcm.alias("pcm"))
+    pcm = F.expr(f"transform(sequence(0, {n} - 1), i -> cast((cue_id * 31 + i) % 1000 / {scale}D as float))")
+    seg = c.drop("text", "user_id").repartition("cue_id").select(F.col("track").alias("media_id"), F.col("cue_id").alias("ord"), "start_ms", F.lit(100).alias("sample_rate"), pcm.alias("pcm"))
     media = c.groupBy(F.col("track").alias("media_id")).agg(F.max("end_ms").alias("total_ms")).withColumn("sample_rate", F.lit(100))
     return audio.mix_down(seg, media)
 
 
-def _checksum(first, value):
-    """Sum of whole values, each times its place's remainder."""
-    return F.aggregate(F.transform("pcm", lambda x, i: value(x).cast("bigint") * ((first + i) % 1009)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+@F.pandas_udf(LongType())
+def _checksum(pcm: pd.Series, first: pd.Series, scale: pd.Series) -> pd.Series:
+    """Sum of samples, which times scale are whole, each times its place's remainder."""
+    return pd.Series([int(np.rint(p.astype(np.float64) * s).astype(np.int64) @ ((f + np.arange(len(p))) % 1009)) for p, f, s in zip(pcm, first, scale)], dtype="int64")
+
+
+@F.pandas_udf(LongType())
+def _n_set(pcm: pd.Series) -> pd.Series:
+    return pd.Series([np.count_nonzero(p) for p in pcm], dtype="int64")
 
 
 @_register(f"""
@@ -469,7 +479,7 @@ select f.track as media_id, frame_no, cast(coalesce(sum(value * (sample % 1009))
 """)
 def mix_down(spark, d):
     frames = _sound(spark, d)
-    return frames.select("media_id", "frame_no", _checksum(F.col("frame_no") * audio.FRAME, lambda x: x).alias("total"), F.size(F.filter("pcm", lambda x: x != 0)).cast("bigint").alias("n_set"))
+    return frames.select("media_id", "frame_no", _checksum("pcm", F.col("frame_no") * audio.FRAME, F.lit(1)).alias("total"), _n_set("pcm").alias("n_set"))
 
 
 @_register(f"""
@@ -484,7 +494,7 @@ def mix_to_file(spark, d):
     wav_files.write_wav(frames, path)
     pieces = wav_files.read_pieces(spark, path, split_bytes=1 << 20)
     media = F.url_decode(F.regexp_extract("media_id", r"([^/]*)\.wav$", 1)).alias("media_id")
-    per = pieces.select(media, F.size("pcm").cast("bigint").alias("n"), "sample_rate", _checksum(F.col("first_sample"), lambda x: F.round(x * 32768)).alias("total"))
+    per = pieces.select(media, F.size("pcm").cast("bigint").alias("n"), "sample_rate", _checksum("pcm", "first_sample", F.lit(32768)).alias("total"))
     return per.groupBy("media_id").agg(F.sum("n").alias("n_samples"), F.max("sample_rate").alias("sample_rate"), F.sum("total").alias("checksum"))
 
 

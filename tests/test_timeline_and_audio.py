@@ -110,6 +110,27 @@ def test_mix_down_overwrites_and_cuts(spark):
     assert (got["m"] == want).all() and (got["silent"] == np.zeros(5)).all()
 
 
+def test_mix_down_makes_samples_once_and_joins_no_media(spark):
+    """What makes the samples stands once in the plan, and no join by medium gathers one medium's segments in one task."""
+    pcm = F.expr("transform(sequence(0, id % 20), i -> cast((id * 31415 + i) % 97 + 1 as float))")
+    seg = spark.range(60).select(F.expr("cast(id % 2 as string)").alias("media_id"), F.col("id").alias("ord"), (F.col("id") * 700 % 9000 - 500).alias("start_ms"), F.lit(10).alias("sample_rate"), pcm.alias("pcm"))
+    media = spark.createDataFrame([("0", 8_300, 10), ("1", 7_000, 10)], "media_id string, total_ms long, sample_rate int")
+    mix = audio.mix_down(seg, media, frame=16)
+    plan = mix._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("31415") == 1 and "Join" not in plan
+    odd = spark.createDataFrame([("0", 100, 0, 10, None), ("0", 101, 0, 10, []), ("0", 102, 8_200, 10, [1.0, None, 5.0]), ("0", 103, 8_500, 10, [7.0] * 30), ("2", 1, 0, 10, [1.0]), (None, 1, 0, 10, [1.0])], seg.schema)
+    every = seg.unionByName(odd)
+    want = {"0": np.zeros(83, np.float32), "1": np.zeros(70, np.float32)}
+    for r in every.orderBy("ord").collect():
+        for i, x in enumerate(r.pcm or []):
+            if r.media_id in want and 0 <= (at := r.start_ms // 100 + i) < len(want[r.media_id]):
+                want[r.media_id][at] = np.nan if x is None else x
+    got = audio.mix_down(every, media, frame=16).orderBy("media_id", "frame_no").collect()
+    for m, x in want.items():
+        assert np.array_equal(np.concatenate([r.pcm for r in got if r.media_id == m]), x, equal_nan=True)
+    assert {r.media_id for r in got} == {"0", "1"}
+
+
 def test_conform(spark):
     seg = spark.createDataFrame([("m", 0, 0, 8000, 2, [0.5, 0.5] * 80)], "media_id string, ord long, start_ms long, sample_rate int, channels int, pcm array<float>")
     r = audio.conform(seg, 16000).first()
