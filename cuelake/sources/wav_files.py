@@ -173,7 +173,8 @@ def write_wav(pieces: DataFrame, directory: str) -> DataFrame:
 
         if names:
             index = spark.read.schema("media_id string, first_sample bigint, sample_rate int, n bigint, part string, at bigint").parquet(*[f"{parts}/{n}.index" for n in names])
-            index.groupBy("media_id").applyInPandas(assemble, LISTING).write.parquet(listing)
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the index is small, but not what it stands for: media aren't to be gathered in one task
+            index.repartition(n, "media_id").groupBy("media_id").applyInPandas(assemble, LISTING).write.parquet(listing)
         else:
             spark.createDataFrame([], LISTING).write.parquet(listing)
         return spark.read.schema(LISTING).parquet(listing)

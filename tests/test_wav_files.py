@@ -80,6 +80,13 @@ def test_mix_as_a_file_equals_its_frames(spark, tmp_path):
     assert wav_files.write_wav(frames.limit(0), str(tmp_path / "empty")).count() == 0
 
 
+def test_media_are_put_together_in_tasks_of_their_own(spark, tmp_path):
+    pieces = spark.createDataFrame([(f"m{k}", 0, 8, [k / 16] * 5) for k in range(12)], PIECES)
+    listing = wav_files.write_wav(pieces, str(tmp_path / "out"))
+    assert listing.count() == 12 and listing.select(F.input_file_name()).distinct().count() > 1
+    assert {r.media_id.rpartition("/")[2]: r.pcm for r in wav_files.read_pieces(spark, str(tmp_path / "out")).collect()} == {f"m{k}.wav": [float(np.rint(k / 16 * 32767)) / 32768] * 5 for k in range(12)}
+
+
 def test_failed_and_repeated_tasks_leave_nothing(spark, tmp_path):
     """A task's first attempt writes a part and is lost; the second one's part alone counts."""
     target = tmp_path / "parts"
