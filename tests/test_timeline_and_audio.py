@@ -74,6 +74,32 @@ def test_match_ties_tolerance_and_reuse(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_match_equals_all_pairs_without_a_row_per_pair(spark, monkeypatch):
+    """Dense times, many copies, unknown ends, fragments beside a stretch's border; the plan joins copies once and expands no pairs."""
+    r = random.Random(4)
+    time = lambda lo, n: r.choice([lo, lo + 1, lo + r.randrange(n)])
+    rows = lambda n: [(r.choice("ab"), k, (s := time(r.choice([-3000, 0, 998, 20_000]), 2500)), None if r.random() < 0.05 else s + time(0, 900)) for k in range(n)]
+    c, f = rows(700), [*rows(500), ("c", 900, 5, 6)]
+    c += [("d", 900, 5, 6), (None, 901, 5, 6), ("a", 902, 30_000, 30_100), ("a", 903, 40_000, 40_100), ("a", 3, 30_001, None)]
+    f += [(None, 901, 5, 6), ("a", 902, 30_000, None), ("a", 903, 30_001, None), ("a", 904, 40_300, None), ("a", 905, 40_400, 40_400)]
+    want: dict = {}
+    for key, cue, s, e in c:
+        for k, frag, fs, fe in f:
+            if key is not None and key == k and abs(s - fs) <= 500:
+                d = None if e is None or fe is None else abs(s - fs) + abs(e - fe)
+                want[key, cue] = min(want.get((key, cue), ((2,),)), ((d is None, d or 0, frag), (frag, fs, fe, d)))
+    cues = spark.createDataFrame(c, "track string, cue_id long, start_ms long, end_ms long")
+    frags = spark.createDataFrame(f, "track string, frag_id long, start_ms long, end_ms long")
+    for stretch, pairs in ((match.STRETCH_MS, match.PAIRS), (1000, 7)):
+        monkeypatch.setattr(match, "STRETCH_MS", stretch)
+        monkeypatch.setattr(match, "PAIRS", pairs)
+        got = match.match_fragments(cues, frags, ("track",))
+        assert {(x.track, x.cue_id): (x.frag_id, x.frag_start_ms, x.frag_end_ms, x.diff_ms) for x in got.collect()} == {k: v[1] for k, v in want.items()}
+    copies = match.match_fragments(cues.crossJoin(spark.range(30)).selectExpr("track", "cue_id + 10000 * id as cue_id", "start_ms", "end_ms"), frags.crossJoin(spark.range(30)).selectExpr("track", "frag_id + 10000 * id as frag_id", "start_ms", "end_ms"), ("track",))
+    assert {(x.track, x.cue_id): (x.frag_id, x.diff_ms) for x in copies.where("cue_id < 10000").collect()} == {k: (v[1][0], v[1][3]) for k, v in want.items()}
+    assert "_bucket" not in got._jdf.queryExecution().toString()
+
+
 def test_usable_cues_and_files(spark):
     df = spark.createDataFrame([(1, "a\nb"), (2, "\n"), (3, None), (4, "x")], "cue_id long, text string")
     assert sorted((r.cue_id, r.target_text, r.source_text) for r in match.usable_cues(df).collect()) == [(1, "a", "b"), (4, "x", "x")]
