@@ -100,6 +100,14 @@ def test_match_equals_all_pairs_without_a_row_per_pair(spark, monkeypatch):
     assert "_bucket" not in got._jdf.queryExecution().toString()
 
 
+def test_match_joins_no_pairs_and_puts_unknown_ends_last(spark):
+    cues = spark.createDataFrame([(1, 1000, 2000)], "cue_id long, start_ms long, end_ms long")
+    frags = spark.createDataFrame([(5, 1000, None), (7, 1200, 2000)], "frag_id long, start_ms long, end_ms long")
+    got = match.match_fragments(cues, frags)
+    assert [(r.frag_id, r.diff_ms) for r in got.collect()] == [(7, 200)]
+    assert "frag_start_ms" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
 def test_usable_cues_and_files(spark):
     df = spark.createDataFrame([(1, "a\nb"), (2, "\n"), (3, None), (4, "x")], "cue_id long, text string")
     assert sorted((r.cue_id, r.target_text, r.source_text) for r in match.usable_cues(df).collect()) == [(1, "a", "b"), (4, "x", "x")]
